@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import LOWER, UPPER, read, scratch
+from waymark.llm import bpe, html_text, langid
+from waymark.llm.common import LOWER, UPPER, crc_part, read, scratch
 from waymark.llm.exact_dedup import annotate
 from waymark.llm.mixing import EPOCHS, MOST_RATE, SEED, TEMPERATURE, mix
 from waymark.llm.sharding import write_shards
@@ -30,6 +31,26 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)
 """
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file()).drop("text")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).drop("html")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_part(F.col("doc_id"), 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = write_shards(read(spark, sf_dir, "documents"), scratch(spark, "shards"))
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,7 +69,10 @@ FROM d
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_bpe": op2_bpe,
+    "op7_html_text": op7_html_text,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language": op10_language,
 }
 SQL = {"op1_source_mixing": OP1_SQL, "op9_exact_dedup": OP9_SQL}
