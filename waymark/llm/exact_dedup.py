@@ -101,7 +101,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         parts = active.select("u", "g", "n", "keep", F.substring("t", 1, width).alias("k"), F.expr(f"substring(t, {width + 1})").alias("t"), (F.length("t") <= width).alias("end"))
         groups = parts.groupBy("g", "k", "end").agg(F.count("*").alias("c"), F.min("u").alias("ng"), F.sum("n").alias("size"), F.max("keep").alias("best")).where("c > 1")
         groups = stored(groups, "exact-groups")
-        split = parts.join(groups, ["g", "k", "end"]).select("u", F.col("ng").alias("g"), F.when(~F.col("end"), F.col("t")).alias("t"), "n", "keep", "size", "best", "end")
+        split = parts.hint("merge").join(groups, ["g", "k", "end"]).select("u", F.col("ng").alias("g"), F.when(~F.col("end"), F.col("t")).alias("t"), "n", "keep", "size", "best", "end")
         split = stored(split, "exact-split")
         ended.append(split.where("end").select("u", "size", "best"))
         active = split.where("not end").select("u", "g", "t", "n", "keep")
