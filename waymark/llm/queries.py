@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, html_text, langid
+from waymark.llm import bpe, html_text, langid, ngram_join
 from waymark.llm.common import LOWER, UPPER, crc_part, read, scratch
 from waymark.llm.exact_dedup import annotate
 from waymark.llm.mixing import EPOCHS, MOST_RATE, SEED, TEMPERATURE, mix
@@ -41,6 +41,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file()).drop("text")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.annotate(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"]).drop("representative")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).drop("html")
 
@@ -70,6 +74,7 @@ FROM d
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_bpe": op2_bpe,
+    "op3_ngram_join": op3_ngram_join,
     "op7_html_text": op7_html_text,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
