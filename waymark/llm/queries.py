@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, html_text, langid, ngram_join
+from waymark.llm import bpe, embedding_dedup, html_text, langid, ngram_join, toxicity
 from waymark.llm.common import LOWER, UPPER, crc_part, read, scratch
 from waymark.llm.exact_dedup import annotate
 from waymark.llm.mixing import EPOCHS, MOST_RATE, SEED, TEMPERATURE, mix
@@ -45,6 +45,17 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.annotate(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"]).drop("representative")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(read(spark, sf_dir, "labels")))
+    given = docs.select("doc_id", (crc_part(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    return toxicity.score(given, model).drop("text")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.annotate(read(spark, sf_dir, "embeddings"), carry=["vec_id"])
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).drop("html")
 
@@ -75,6 +86,8 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
+    "op5_toxicity": op5_toxicity,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_html_text": op7_html_text,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
