@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, embedding_dedup, html_text, langid, ngram_join, toxicity
+from waymark.llm import bpe, embedding_dedup, html_text, langid, ngram_join, toxicity, warc
 from waymark.llm.common import LOWER, UPPER, crc_part, read, scratch
 from waymark.llm.exact_dedup import annotate
 from waymark.llm.mixing import EPOCHS, MOST_RATE, SEED, TEMPERATURE, mix
@@ -45,6 +45,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.annotate(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"]).drop("representative")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = read(spark, sf_dir, "pages"), scratch(spark, "warc")
+    shards = warc.write_index(warc.write_archives(pages, folder), folder)
+    return warc.lookup(pages, folder, shards, with_payload=False).drop("url", "payload")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.training_labels(read(spark, sf_dir, "labels")))
@@ -86,6 +92,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_html_text": op7_html_text,
@@ -93,4 +100,15 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language": op10_language,
 }
-SQL = {"op1_source_mixing": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_aggregate(list_transform(range(0, 5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) * (1 << CAST(4 - j AS INTEGER))), 'sum') AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM (SELECT *, CAST(CAST(unhex(h) AS BIT) AS VARCHAR) AS bits FROM w)
+"""
+
+SQL = {"op1_source_mixing": OP1_SQL, "op4_warc": OP4_SQL, "op9_exact_dedup": OP9_SQL}
