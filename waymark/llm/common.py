@@ -13,6 +13,7 @@ from waymark.session import ship
 
 #: Rows handed to a Python worker at once; texts of any length pass, so few rows keep a batch small.
 BATCH_ROWS = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,16 +44,57 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, outlives executors, and later reads prune columns."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: cuts lineage, outlives executors, and later reads prune columns.
+
+    The written table replaces the shuffles that made it, so their files go at once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    _made.append(path)
+    return out
+
+
+#: Folders of the tables that stored() wrote and that drop() has not removed.
+_made: list[str] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that stored() returned and nothing will read again."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch)
+        _made.remove(t.scratch)
+
+
+def made_since(mark: int) -> list[str]:
+    return _made[mark:]
+
+
+def mark() -> int:
+    return len(_made)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes those of the folders that are still there."""
+    for path in [p for p in paths if p in _made]:
+        _remove(spark, path)
+        _made.remove(path)
 
 
 def purge(spark: SparkSession) -> None:
     """Removes all scratch tables of the shared folder; call when no result that reads them is needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/waymark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/waymark")
+    _made.clear()
 
 
 def free_name(taken: Iterable[str], name: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import free_name, small_batches, stored
+from waymark.llm.common import drop, free_name, small_batches, stored
 
 FIRST_DIGIT, GROWTH = 64, 8
 
@@ -96,13 +96,15 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     local = stored(given.mapInArrow(run, schema), "exact-local")
 
     active = local.where(F.col(rest).isNotNull()).select(F.col(rep).alias("u"), F.lit(0).cast("long").alias("g"), F.col(rest).alias("t"), F.col(n).alias("n"), F.struct(F.col(kid).alias("id"), F.col(kuid).alias("uid")).alias("keep"))
-    width, ended = FIRST_DIGIT, []
+    width, ended, done = FIRST_DIGIT, [], []
     while True:
         parts = active.select("u", "g", "n", "keep", F.substring("t", 1, width).alias("k"), F.expr(f"substring(t, {width + 1})").alias("t"), (F.length("t") <= width).alias("end"))
         groups = parts.groupBy("g", "k", "end").agg(F.count("*").alias("c"), F.min("u").alias("ng"), F.sum("n").alias("size"), F.max("keep").alias("best")).where("c > 1")
         groups = stored(groups, "exact-groups")
         split = parts.hint("merge").join(groups, ["g", "k", "end"]).select("u", F.col("ng").alias("g"), F.when(~F.col("end"), F.col("t")).alias("t"), "n", "keep", "size", "best", "end")
         split = stored(split, "exact-split")
+        drop(groups)
+        done.append(split)
         ended.append(split.where("end").select("u", "size", "best"))
         active = split.where("not end").select("u", "g", "t", "n", "keep")
         if active.isEmpty():
@@ -114,6 +116,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     # What representatives alone know (singletons of the rounds) comes from the local table.
     own = local.where(F.col(rest).isNotNull()).select(F.col(rep).alias("u"), F.col(n).alias("n"), F.struct(F.col(kid).alias("id"), F.col(kuid).alias("uid")).alias("keep"))
     final = stored(own.join(found, "u", "left").select("u", F.coalesce("size", "n").alias("size"), F.coalesce("best", "keep").alias("best")), "exact-classes")
+    drop(*done)
     names = [free_name(carry, x) for x in ("keep_id", "group_size", "kept", "text_sha256")]
     out = local.join(final, F.col(rep) == F.col("u"))
     return out.select(

@@ -10,10 +10,15 @@ rank the others by a seeded hash, a seed per order.
 Pairs are never listed. Per order, the documents that share a prefix token form a star around their smallest document
 (partial aggregation, then a join that Spark can split when a token is hot); stars are renamed by one hop, so that a
 group of near copies is one star and not dozens. A document then has the key (star of order 1, star of order 2); documents
-that could link have a key in common. Documents with a key in common are verified together, all against all, in tasks
-of at most about 2 * HALF documents: a larger key is cut into blocks, and each pair of blocks is a task. A task returns a
+that could link have a key in common. As linked sets differ in size by 4 : 3 at most, a key is split by size class (each
+document is in its own class and the next, so that neighbours meet). Documents with a key in common are screened and then
+verified together, all against all, in tasks of at most about 2 * HALF documents: a larger key is cut into blocks, and each pair of blocks is a task. A task returns a
 spanning forest of the links found, at most one row per document. Components come from contraction (see graph).
 
+The screen sees two bytes of each prefix token, no texts. Tokens shared beyond the shorter-reaching prefix are at most that
+set's rest, so a pair with too few prefix tokens in common can't link (two bytes only ever add to what is in common).
+Whole texts are sent for the documents of pairs that pass.
+
 Equal sets are one class throughout: repeats within a batch are folded where they are read, across batches by their sets'
 digest, so copies send a narrow row each.
 
@@ -25,6 +30,7 @@ component's id is the smallest id in it (nulls are passed over; null if it has n
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,28 +41,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import free_name, small_batches, stored
+from waymark.llm.common import drop, free_name, small_batches, stored
 from waymark.llm.graph import components
 
 WORDS, PERCENT, ORDERS = 5, 75, (11, 23)
 #: Tokens known as frequent, at most, and in how many documents they must have been seen.
-HEAVY_MOST, HEAVY_LEAST = 200_000, 16
+HEAVY_MOST, HEAVY_LEAST, BLOCK_TOKENS = 300_000, 6, 4_000_000
 HALF = 256
+#: Where prefixes with frequent tokens end: ties, as far as the screen knows.
+LATEST = 2**63 - 1
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-
-_words = _Words()
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers for each seed."""
     with np.errstate(over="ignore"):
@@ -72,7 +69,7 @@ def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     found = (text.encode() if isinstance(text, str) else text).lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     k = min(words, len(h))
     with np.errstate(over="ignore"):
         s = mixed(h[: len(h) - k + 1], k)
@@ -81,26 +78,58 @@ def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
-def prefix(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
-    """The tokens of a set that a partner must share one of, under the order of the seed."""
-    n = len(tokens)
-    size = n - (percent * n + 99) // 100 + 1
-    key = mixed(tokens, seed)
-    level = np.zeros(n, np.int64)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-        level = np.where(heavy[at] == tokens, rank[at], 0)
-    return tokens[np.lexsort((key, level))[:size]]
+class Orders:
+    """Global orders: infrequent tokens first, by a seeded hash; then the frequent ones by rank."""
+
+    BITS = 23
+
+    def __init__(self, heavy: np.ndarray, rank: np.ndarray):
+        self.heavy, self.rank = heavy, rank
+        # A bitmap by low bits tells nearly all tokens that are not frequent.
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[heavy & np.uint64((1 << self.BITS) - 1)] = True
+
+    def prefixes(self, tokens: np.ndarray, seeds: tuple[int, ...] = ORDERS, percent: int = PERCENT) -> list[tuple[np.ndarray, int]]:
+        """For each order the tokens of a set that a partner must share one of, and where they end in the order."""
+        n = len(tokens)
+        size = n - (percent * n + 99) // 100 + 1
+        light, last = tokens, np.empty(0, np.uint64)
+        at = np.nonzero(self.maybe[tokens & np.uint64((1 << self.BITS) - 1)])[0]
+        if len(at):
+            k = np.minimum(np.searchsorted(self.heavy, tokens[at]), len(self.heavy) - 1)
+            hit = self.heavy[k] == tokens[at]
+            if hit.any():
+                light = np.delete(tokens, at[hit])
+                if len(light) < size:
+                    last = tokens[at[hit]][np.argsort(self.rank[k[hit]])][: size - len(light)]
+        if len(light) <= size:
+            return [(np.concatenate([light, last]), LATEST)] * len(seeds)
+        found = []
+        for s in seeds:
+            key = mixed(light, s)
+            at = np.argpartition(key, size - 1)[:size]
+            found.append((light[at], int(key[at[-1]] >> np.uint64(1))))
+        return found
 
 
 def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, sorted, and their rank (1 is the least frequent); found by tokens repeated within batches."""
+    """The most frequent tokens, sorted, and their rank (1 is the least frequent); found by tokens repeated within blocks
+    of about BLOCK_TOKENS of a task, whose counts add up."""
+
+    def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+        return pa.record_batch([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
         for b in batches:
-            sets = [shingles(x) for x in dict.fromkeys(b.column(0).to_pylist())]
-            tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            yield pa.record_batch([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+            for x in dict.fromkeys(b.column(0).to_pylist()):
+                sets.append(shingles(x))
+                held += len(sets[-1])
+                if held >= BLOCK_TOKENS:
+                    yield counts(sets)
+                    sets, held = [], 0
+        yield counts(sets)
 
     seen = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = seen.where(F.col("n") >= HEAVY_LEAST).orderBy(F.desc("n"), "token").limit(HEAVY_MOST).toArrow()
@@ -120,15 +149,18 @@ def _stars(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
     """(star, uid): documents that share a prefix token have a star in common. prefixes: uid, p; reps: uid, rep where they differ."""
     posts = prefixes.select("uid", F.explode("p").alias("token"))
     hubs = stored(posts.groupBy("token").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", "hub"), "join-hubs")
-    rows = posts.join(hubs, "token").select("hub", "uid").distinct()
+    rows = posts.join(hubs.hint("shuffle_hash"), "token").select("hub", "uid").distinct()
     named = rows.join(reps, "uid", "left").select("hub", F.coalesce("rep", "uid").alias("uid"))
     named = named.join(reps.select(F.col("uid").alias("hub"), F.col("rep").alias("hub_rep")), "hub", "left").select(F.coalesce("hub_rep", "hub").alias("hub"), "uid")
     rows = stored(named.distinct(), "join-rows")
+    drop(hubs)
     # One hop: a hub that is in stars of smaller hubs gives its star to the smallest of them.
     first = rows.groupBy(F.col("uid").alias("hub")).agg(F.min("hub").alias("to"))
     merged = rows.join(first, "hub", "left").select(F.coalesce(F.least("to", "hub"), "hub").alias("star"), "uid").distinct()
-    many = merged.groupBy("star").agg(F.count("*").alias("n")).where("n > 1").select("star")
-    return stored(merged.join(stored(many, "join-stars"), "star"), "join-members")
+    many = stored(merged.groupBy("star").agg(F.count("*").alias("n")).where("n > 1").select("star"), "join-stars")
+    members = stored(merged.join(many, "star"), "join-members")
+    drop(rows, many)
+    return members
 
 
 def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -177,29 +209,85 @@ def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
     return edges
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; each run of a key is decided as a whole."""
-    key, uids, texts, found = None, [], [], []
-
-    def decide() -> None:
-        if len(uids) > 1:
-            order = sorted({u: t for u, t in zip(uids, texts)}.items())
-            found.extend((order[i][0], order[j][0]) for i, j in forest([shingles(t) for _, t in order]))
+def _runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[list, list[list]] | None]:
+    """(key, columns of the rest) of each run of rows with equal first columns; None after each batch."""
+    key, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:parts] != key:
+                if len(held) > 1:
+                    yield key, list(zip(*held))
+                key, held = row[:parts], []
+            held.append(row[parts:])
+        yield None
+    if len(held) > 1:
+        yield key, list(zip(*held))
+    yield None
+
+
+def common(shorts: list[np.ndarray]) -> np.ndarray:
+    """How many short tokens each two documents share; those alike in two bytes count as products, never less than they share."""
+    n = len(shorts)
+    if n == 2:
+        (u, cu), (v, cv) = (np.unique(x, return_counts=True) for x in shorts)
+        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        k = int((cu[i] * cv[j]).sum())
+        return np.array([[0, k], [k, 0]], np.float32)
+    owner = np.repeat(np.arange(n), [len(x) for x in shorts])
+    _, at, count = np.unique(np.concatenate(shorts), return_inverse=True, return_counts=True)
+    keep = count[at] > 1
+    owner, at = owner[keep], (np.cumsum(count > 1) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    found, width = np.zeros((n, n), np.float32), 2048
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, (low, low + width))
+        m = np.zeros((n, width), np.float32)
+        np.add.at(m, (owner[a:b], at[a:b] - low), 1)
+        found += m @ m.T
+    return found
+
+
+def passing(sizes: np.ndarray, shorts: list[bytes], ends: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may link, by the sizes of what their prefixes have in common."""
+    parts = [np.frombuffer(x, np.uint16) for x in shorts]
+    need = -(-(percent * (sizes[:, None] + sizes[None, :])) // (100 + percent))
+    rest = sizes - np.array([len(x) for x in parts])
+    earlier = ends[:, None] < ends[None, :]
+    room = np.where(earlier, rest[:, None], np.where(earlier.T, rest[None, :], np.maximum(rest[:, None], rest[None, :])))
+    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+    return np.nonzero(np.triu((common(parts) + room >= need) & (100 * low >= percent * high), 1))
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and documents that remain. A pair is let through in one key only, the least that both documents have."""
+    found, names = [], ["s1", "s2", "z", "i", "j", "uid"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    for run in _runs(batches, 5):
+        if run is not None:
+            (s1, s2, z, i, j), (uids, sizes, shorts, ends, classes, sides, first, second) = run
+            first, second = [set(x) for x in first], [set(x) for x in second]
+            remain = set()
+            for a, b in zip(*(x.tolist() for x in passing(np.array(sizes), list(shorts), np.array(ends)))):
+                if max(classes[a], classes[b]) == z and (i == j or sides[a] != sides[b]) and (a not in remain or b not in remain):
+                    if min(first[a] & first[b]) == s1 and min(second[a] & second[b]) == s2:
+                        remain |= {a, b}
+            found += [(s1, s2, z, i, j, uids[k]) for k in sorted(remain)]
+        else:
+            yield pa.record_batch([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names)
+            found = []
 
-    def batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
-    for b in batches:
-        for k1, k2, i, j, u, t in zip(*(c.to_pylist() for c in b.columns)):
-            if (k1, k2, i, j) != key:
-                decide()
-                key, uids, texts = (k1, k2, i, j), [], []
-            uids.append(u)
-            texts.append(t)
-        yield batch(found)
-        found = []
-    decide()
-    yield batch(found)
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links, as a forest for each key."""
+    found = []
+    for run in _runs(batches, 5):
+        if run is not None:
+            order = sorted(dict(zip(*run[1])).items())
+            found += [(order[i][0], order[j][0]) for i, j in forest([shingles(t) for _, t in order])]
+        else:
+            yield pa.record_batch([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], ["a", "b"])
+            found = []
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -214,13 +302,13 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     known = spark.sparkContext.broadcast(_frequent(docs, text_col))
     kept = list(dict.fromkeys([*carry, id_col, text_col]))
     taken = docs.columns
-    uid, same, n, sig, *ps = (free_name(taken, f"_{x}") for x in ("uid", "same", "n", "sig", *(f"p{k}" for k in range(len(ORDERS)))))
-    new = [(uid, T.LongType()), (same, T.LongType()), (n, T.LongType()), (sig, T.BinaryType()), *((p, T.ArrayType(T.LongType())) for p in ps)]
+    uid, same, n, sig, short, end, *ps = (free_name(taken, f"_{x}") for x in ("uid", "same", "n", "sig", "short", "end", *(f"p{k}" for k in range(len(ORDERS)))))
+    new = [(uid, T.LongType()), (same, T.LongType()), (n, T.LongType()), (sig, T.BinaryType()), (short, T.BinaryType()), (end, T.LongType()), *((p, T.ArrayType(T.LongType())) for p in ps)]
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(*x) for x in new)])
     arrow, at = to_arrow_schema(schema), kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, rank = known.value
+        orders = Orders(*known.value)
         base = TaskContext.get().partitionId() << 33
         for b in batches:
             first: dict[bytes, int] = {}
@@ -234,35 +322,52 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                     s = shingles(text)
                     size, digest = by_text[text] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 new = size > 0 and digest not in first
-                rows.append((base + i, base + first.setdefault(digest, i) if size else base + i, size, digest if size and new else None))
-                for p, seed in zip(prefixes, ORDERS):
-                    p.append(prefix(s, heavy, rank, seed) if new else np.empty(0, np.uint64))
-            cols = [pa.array([r[k] for r in rows], arrow.field(len(kept) + k).type) for k in range(4)]
-            yield pa.record_batch([*b.columns, *cols, *(_lists(p).cast(arrow.field(len(kept) + 4 + k).type) for k, p in enumerate(prefixes))], schema=arrow)
+                own = orders.prefixes(s) if new else [(np.empty(0, np.uint64), None)] * len(ORDERS)
+                rows.append((base + i, base + first.setdefault(digest, i) if size else base + i, size, digest if new else None, own[0][0].astype(np.uint16).tobytes() if new else None, own[0][1]))
+                for p, (x, _) in zip(prefixes, own):
+                    p.append(x)
+            cols = [pa.array([r[k] for r in rows], arrow.field(len(kept) + k).type) for k in range(6)]
+            yield pa.record_batch([*b.columns, *cols, *(_lists(p).cast(arrow.field(len(kept) + 6 + k).type) for k, p in enumerate(prefixes))], schema=arrow)
             base += b.num_rows
 
     t1 = stored(docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema), "join-docs")
     # Local representatives of equal sets -> one of the whole table.
     local = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(sig).alias("sig"))
     many = local.groupBy("sig").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("sig", "rep")
-    reps = stored(local.join(stored(many, "join-classes"), "sig").select("uid", "rep"), "join-reps")
-    keys = None
+    many = stored(many, "join-classes")
+    reps = stored(local.join(many, "sig").select("uid", "rep"), "join-reps")
+    drop(many)
+    keys, lists, tables = None, [], []
     for p in ps:
         own = t1.where(F.size(p) > 0).select(F.col(uid).alias("uid"), F.col(p).alias("p"))
         if keys is not None:
-            own = own.join(keys.select("uid").distinct(), "uid", "left_semi")
+            own = own.hint("merge").join(keys.select("uid").distinct(), "uid", "left_semi")
         stars = _stars(own, reps)
+        tables.append(stars)
+        lists.append(stars.groupBy("uid").agg(F.collect_list("star").alias(f"a{len(lists) + 1}")))
         keys = stars.select("uid", F.col("star").alias("s1")) if keys is None else keys.join(stars.select("uid", F.col("star").alias("s2")), "uid")
-    sizes = stored(keys.groupBy("s1", "s2").agg(F.count("*").alias("c")).where("c > 1"), "join-keys")
+    counted = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.floor(F.log(F.col(n).cast("double")) / math.log(100 / PERCENT * 1.0001)).cast("int").alias("own"))
+    keys = keys.join(counted, "uid").select("s1", "s2", "uid", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("z"))
+    # In class z are the sets of z and of z - 1; those of z - 1 alone have met in their own class.
+    sizes = keys.groupBy("s1", "s2", "z").agg(F.count("*").alias("c"), F.max((F.col("own") == F.col("z")).cast("int")).alias("has")).where("c > 1 and has = 1").drop("has")
+    sizes = stored(sizes, "join-keys")
     blocks = F.when(F.col("c") <= 2 * HALF, 1).otherwise(F.ceil(F.col("c") / HALF)).cast("int")
     block = F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int")
-    dealt = keys.join(sizes, ["s1", "s2"]).withColumn("nb", blocks).withColumn("x", block).select("s1", "s2", "uid", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
-    dealt = dealt.select("uid", "s1", "s2", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    dealt = keys.join(sizes, ["s1", "s2", "z"]).withColumn("nb", blocks).withColumn("x", block).select("s1", "s2", "z", "uid", "own", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
+    dealt = dealt.select("uid", "own", F.col("x").alias("side"), "s1", "s2", "z", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    key = ["s1", "s2", "z", "i", "j"]
+    sketches = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(n).alias("n"), F.col(short).alias("short"), F.col(end).alias("end"))
+    for x in lists:
+        sketches = sketches.join(x, "uid")
+    given = dealt.join(sketches.hint("merge"), "uid").select(*key, "uid", "n", "short", "end", "own", "side", "a1", "a2").repartition(*key).sortWithinPartitions(*key)
+    screened = stored(given.mapInArrow(_screen, given.select(*key, "uid").schema), "join-screened")
     texts = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(text_col).alias("t"))
-    given = dealt.join(texts, "uid").select("s1", "s2", "i", "j", "uid", "t")
-    given = given.repartition("s1", "s2", "i", "j").sortWithinPartitions("s1", "s2", "i", "j")
+    drop(sizes, *tables)
+    # Merged at every size: what is sent then grows with the input and not by steps.
+    given = screened.join(texts.hint("merge"), "uid").select(*key, "uid", "t").repartition(*key).sortWithinPartitions(*key)
     links = stored(given.mapInArrow(_verify, "a long, b long"), "join-links")
 
+    drop(screened)
     roots = components(links)
     named = t1.where(F.col(n) > 0).groupBy(F.col(same).alias("uid")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))).alias("low"))
     named = named.join(reps, "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
@@ -270,6 +375,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     named = stored(named, "join-roots")
     lows = stored(named.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("c")).where("c > 1").select("root", "least"), "join-lows")
     final = stored(named.join(lows, "root", "left").select("uid", F.coalesce("least", "low").alias("low")), "join-components")
+    drop(lows, named, links, reps)
     out = t1.join(final.select(F.col("uid").alias("__same"), "low"), F.col(same) == F.col("__same"), "left")
     names = [free_name(carry, x) for x in ("n_shingles", "component_id", "representative")]
     return out.select(
