@@ -3,15 +3,21 @@
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes what each
 returns as Parquet to the shared folder and reads it again as the next one's docs. All but the last return the columns of
 documents. An empty table passes through as an empty table.
+
+A stage's result is to be written before the next stage begins, as run() does: the tables that it was made from, in the
+shared folder, go when the next stage begins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from waymark.llm.common import free_name, read, stored
+from waymark.llm.common import drop, free_name, made_since, mark, read, release, stored
 from waymark.llm.queries import tokenizer_file
 
 
@@ -44,12 +50,29 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return made.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+_spent: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after the tables behind the last stage's written result are gone."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _spent)
+        begin = mark()
+        result = stage(spark, docs, sf_dir)
+        _spent[:] = made_since(begin)
+        return result
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("ngram_join", drop_near_copies),
-    ("source_mixing", mix_sources),
-    ("bpe", encode_texts),
+    ("toxicity", _tidy(drop_toxic)),
+    ("exact_dedup", _tidy(drop_copies)),
+    ("ngram_join", _tidy(drop_near_copies)),
+    ("source_mixing", _tidy(mix_sources)),
+    ("bpe", _tidy(encode_texts)),
 ]
 #: Stages 1, 3 and 5 are nothing that SQL can express.
 ORACLE_SQL = None
@@ -57,6 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
