@@ -186,6 +186,23 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", window: int
     return _add(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], values)
 
 
+def encode_checked(docs: DataFrame, tokenizer: str, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with ids and decoded_sha256, the digest of what the ids decode to: one pass, one set of Python workers."""
+
+    def values(texts):
+        t = transducer(tokenizer, window)
+        ids = [np.concatenate([np.empty(0, np.int32), *(np.asarray(part, np.int32) for part in lists)]) for lists in _id_lists(t, [x or "" for x in texts])]
+        digests = []
+        for x in ids:
+            h = hashlib.sha256()
+            for piece in t.decode(x[k : k + WINDOW].tolist() for k in range(0, len(x), WINDOW)):
+                h.update(piece.encode())
+            digests.append(h.hexdigest())
+        return [ids, digests]
+
+    return _add(docs, text_col, [("ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())], values)
+
+
 def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     """docs with decoded, the text of the ids; a null list is empty."""
 
