@@ -45,9 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of what they decode to."""
-    path = tokenizer_file()
-    made = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
-    return made.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    made = bpe.encode_checked(docs.select("doc_id", "source", "text"), tokenizer_file())
+    return made.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 _spent: list[str] = []
