@@ -21,7 +21,8 @@ def haversine(lng1, lat1, lng2, lat2) -> Column:
     """Metres between two points."""
     lng1, lat1, lng2, lat2 = map(col, (lng1, lat1, lng2, lat2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * F.asin(F.least(F.sqrt(a), F.lit(1.0))) * RADIUS
+    # Rounding may exceed 1 at antipodes only; null stays null.
+    return 2 * F.nanvl(F.asin(F.sqrt(a)), F.lit(math.pi / 2)) * RADIUS
 
 
 def metres_to_degrees(metres) -> Column:

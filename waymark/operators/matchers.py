@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.operators import baselines
-from waymark.operators.candidates import RADIUS, candidates
+from waymark.operators.candidates import RADIUS, hits
 from waymark.operators.decoder import Match, Point, Weights, decode
 from waymark.operators.routing import Candidate, Network
 from waymark.plans.network import collected
@@ -40,14 +40,18 @@ def network_of(broadcast) -> Network:
 
 
 def points_of(rows: pd.DataFrame) -> list[Point]:
-    """Points with candidates, in order, from joined rows (no segment_id: no candidate)."""
-    rows = rows.sort_values("idx", kind="stable")
+    """Points with candidates, in order, from rows of hits (no segment_id: no candidate; of a segment the nearest leg)."""
+    rows = rows.sort_values(["idx", "err_m", "matched_index"], kind="stable")
     found: list[Point] = []
-    for r in rows.itertuples(index=False):
-        if not found or found[-1].idx != r.idx:
-            found.append(Point(int(r.idx), int(r.millis), float(r.lng), float(r.lat)))
-        if not pd.isna(r.segment_id):
-            found[-1].candidates.append(Candidate(int(r.segment_id), int(r.matched_index), float(r.cand_lng), float(r.cand_lat), float(r.err_m), float(r.offset_m), int(r.idx)))
+    seen: set[int] = set()
+    columns = ("idx", "millis", "lng", "lat", "segment_id", "matched_index", "cand_lng", "cand_lat", "err_m", "offset_m")
+    for idx, millis, lng, lat, seg, leg, x, y, err, offset in zip(*(rows[c].tolist() for c in columns)):
+        if not found or found[-1].idx != idx:
+            found.append(Point(int(idx), int(millis), lng, lat))
+            seen = set()
+        if seg == seg and seg is not None and seg is not pd.NA and seg not in seen:
+            seen.add(seg)
+            found[-1].candidates.append(Candidate(int(seg), int(leg), x, y, err, offset, int(idx)))
     for p in found:
         p.candidates.sort(key=lambda c: c.order)
     return found
@@ -84,9 +88,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def joined(points: DataFrame, expanded: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Points with their candidates, what the folds read."""
-    c = candidates(points.select("tid", "oid", "idx", "time", "lng", "lat"), expanded, radius, keep_misses=True)
-    return c.withColumn("millis", F.unix_millis("time"))
+    """Points with the legs in reach (misses stay), what the folds read.
+
+    Points are dealt out by tid before the join, which keeps that, so the folds need no shuffle of the wider rows."""
+    given = points.select("tid", "oid", "idx", "time", "lng", "lat").repartition("tid")
+    return hits(given, expanded, radius, keep_misses=True).withColumn("millis", F.unix_millis("time"))
 
 
 def match(points: DataFrame, expanded: DataFrame, method: str = "batch", *, weights: str = "dynamic", window: int = 10, radius: float = RADIUS, compat: bool = False, turning: bool = False, finalize: bool = False, split: bool = False) -> DataFrame:

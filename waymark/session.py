@@ -23,3 +23,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{top.name}/{p.relative_to(top)}")
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """A checkpoint folder for the session: spark.checkpoint.dir, or one of our own where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waymark-checkpoint-"))

@@ -1,6 +1,6 @@
 """Greedy and online matching of point streams, with the batch decoders' core in keyed state.
 
-A stream of gps points is joined with the static network's grid cells, and each trajectory's decoder is kept as a group's state.
+A stream of gps points is joined with the static network's grid cells (a stream-static outer join, so misses stay), and each trajectory's decoder is kept as a group's state.
 Rows of a micro-batch are taken in order of (time, idx); a point that is not newer than the last one of its trajectory is
 late and dropped. Output rows are upserts by (tid, idx): greedy writes each once; online writes again, with a higher
 revision, what a convergence corrects (output mode update). With a timeout ("1 hour") a trajectory without points for so
@@ -18,38 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from waymark.operators.candidates import RADIUS, cells
-from waymark.functions.geo import PER_METRE, offset_on, project_polyline
+from waymark.operators.candidates import RADIUS, hits
 from waymark.operators.decoder import Decoder, Match, Point, Weights
 from waymark.operators.matchers import MATCHED, _frame, broadcast_network, network_of, points_of, rows_of
 
 STATE = "decoder binary, last_millis long, last_idx int"
 
 
-def stream_candidates(points: DataFrame, expanded: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """A row for each point with its candidates as an array (empty: none), by one stream-static join on grid cells.
-
-    The static side has one row for each cell with all its segments, so a point stays one row and misses stay without
-    a second look at the stream."""
-    cell = max(4 * radius, 200.0) * PER_METRE
-    static = cells(expanded, radius, cell).groupBy("cx", "cy").agg(F.collect_list(F.struct("segment_id", F.col("points").alias("line"))).alias("near"))
-    p = points.withColumns({"cx": F.floor(F.col("lng") / cell), "cy": F.floor(F.col("lat") / cell), "millis": F.unix_millis("time")})
-    j = p.join(F.broadcast(static), ["cx", "cy"], "left")
-
-    def one(s):
-        g = project_polyline(s["line"], "lng", "lat")
-        return F.struct(s["segment_id"].alias("segment_id"), g["matched_index"].alias("matched_index"), g["lng"].alias("cand_lng"), g["lat"].alias("cand_lat"), g["err_m"].alias("err_m"), offset_on(s["line"], g["matched_index"], g["lng"], g["lat"]).alias("offset_m"))
-
-    found = F.filter(F.transform(F.coalesce("near", F.array().cast(static.schema["near"].dataType)), one), lambda c: c["err_m"] <= radius)
-    return j.select("tid", "oid", "idx", "time", "millis", "lng", "lat", found.alias("found"))
-
-
 def match_stream(points: DataFrame, expanded: DataFrame, method: str = "greedy", *, weights: str = "dynamic", window: int = 10, radius: float = RADIUS, compat: bool = False, timeout: str | None = None) -> DataFrame:
     """Streaming matched_points of a stream with tid, oid, idx, time, lng, lat. Write it in update mode."""
     if method not in ("greedy", "online"):
         raise ValueError("streams are matched by greedy or online")
     net = broadcast_network(points.sparkSession, expanded)
-    flat = stream_candidates(points, expanded, radius).select("tid", "oid", "idx", "time", "millis", "lng", "lat", F.explode_outer("found").alias("c")).select("tid", "oid", "idx", "time", "millis", "lng", "lat", "c.*")
+    flat = hits(points.select("tid", "oid", "idx", "time", "lng", "lat"), expanded, radius, keep_misses=True).withColumn("millis", F.unix_millis("time"))
     limit = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else None
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
