@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import angle_between, bearing, haversine
 
-BY_POINT = Window.partitionBy("tid").orderBy("idx")
+
+def by_point() -> WindowSpec:
+    """A trajectory's rows in order."""
+    return Window.partitionBy("tid").orderBy("idx")
 
 
 def stride(points: DataFrame, skip: int) -> DataFrame:
@@ -26,7 +29,7 @@ def truncate(points: DataFrame, most: int) -> DataFrame:
 
 def pairs(points: DataFrame) -> DataFrame:
     """Points with the one before: prev_lng, prev_lat, prev_time, leg_m (null for the first)."""
-    out = points.withColumns({f"prev_{c}": F.lag(c).over(BY_POINT) for c in ("lng", "lat", "time")})
+    out = points.withColumns({f"prev_{c}": F.lag(c).over(by_point()) for c in ("lng", "lat", "time")})
     return out.withColumn("leg_m", haversine("prev_lng", "prev_lat", "lng", "lat"))
 
 
@@ -35,9 +38,9 @@ def window_bearing(points: DataFrame, window: int = 8) -> DataFrame:
 
     Points that did not move are dropped first, as the window passes over them."""
     moved = pairs(points).where((F.col("leg_m") > 0) | F.col("leg_m").isNull())
-    legs = moved.withColumn("bearing", F.when(F.lag("lng").over(BY_POINT).isNotNull(), bearing(F.lag("lng").over(BY_POINT), F.lag("lat").over(BY_POINT), "lng", "lat")))
-    turns = legs.withColumn("turn", angle_between(F.lag("bearing").over(BY_POINT), F.col("bearing")))
-    score = F.sum(F.col("turn") / 180).over(BY_POINT.rowsBetween(-(window - 3), 0))
+    legs = moved.withColumn("bearing", F.when(F.lag("lng").over(by_point()).isNotNull(), bearing(F.lag("lng").over(by_point()), F.lag("lat").over(by_point()), "lng", "lat")))
+    turns = legs.withColumn("turn", angle_between(F.lag("bearing").over(by_point()), F.col("bearing")))
+    score = F.sum(F.col("turn") / 180).over(by_point().rowsBetween(-(window - 3), 0))
     return turns.withColumn("score", score).withColumn("stable", F.coalesce(F.col("score") <= 0.2, F.lit(False)))
 
 
@@ -58,12 +61,12 @@ def moving_speed(points: DataFrame, window: int = 5) -> DataFrame:
     p = pairs(points)
     seconds = (F.unix_millis("time") - F.unix_millis("prev_time")) / F.lit(1000.0)
     p = p.withColumn("speed", F.try_divide(F.col("leg_m"), F.nullif(seconds, F.lit(0.0))))
-    return p.withColumn("mean_speed", F.avg("speed").over(BY_POINT.rowsBetween(-(window - 1), 0)))
+    return p.withColumn("mean_speed", F.avg("speed").over(by_point().rowsBetween(-(window - 1), 0)))
 
 
 def running_spread(matched: DataFrame, value: str) -> DataFrame:
     """Running mean and sample deviation of a column along a trajectory."""
-    w = BY_POINT.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_point().rowsBetween(Window.unboundedPreceding, 0)
     return matched.withColumns({"run_mean": F.avg(value).over(w), "run_sd": F.stddev_samp(value).over(w)})
 
 
@@ -73,7 +76,7 @@ def root_mean_square(matched: DataFrame, value: str) -> DataFrame:
 
 def consecutive(rows: DataFrame, value: str) -> DataFrame:
     """Without rows that repeat the value of the row before."""
-    before = F.lag(value).over(BY_POINT)
+    before = F.lag(value).over(by_point())
     return rows.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col(value))).drop("__b")
 
 

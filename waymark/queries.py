@@ -161,7 +161,7 @@ def extended_bbox(spark, d):
     f"SELECT tid, idx, round({O.hav('px', 'py', 'lng', 'lat')}, 6) AS leg_m, round({O.angle(O.bearing('px', 'py', 'lng', 'lat'), O.bearing('lng', 'lat', 'nx', 'ny'))}, 6) AS turn FROM l WHERE px IS NOT NULL AND nx IS NOT NULL"
 )
 def leg_distance_and_turn(spark, d):
-    w = trajectory.BY_POINT
+    w = trajectory.by_point()
     p = pts(spark, d).withColumns({"px": F.lag("lng").over(w), "py": F.lag("lat").over(w), "nx": F.lead("lng").over(w), "ny": F.lead("lat").over(w)}).where("px is not null and nx is not null")
     return p.select("tid", "idx", F.round(geo.haversine("px", "py", "lng", "lat"), 6).alias("leg_m"), F.round(geo.bearing_difference(("px", "py"), ("lng", "lat"), ("lng", "lat"), ("nx", "ny")), 6).alias("turn"))
 
