@@ -80,8 +80,8 @@ class Transducer:
             for at in range(0, len(chunk), self.window):
                 held += chunk[at : at + self.window]
                 while len(held) > self.window:
-                    cut = self._between_words(held)
-                    ids, cut = (self.encode_short([held[:cut]])[0], cut) if cut else self._inside_word(held)
+                    ids, cut = self._between_words(held)
+                    ids, cut = (ids, cut) if cut else self._inside_word(held)
                     if not cut:
                         break  # not stable yet: a longer window decides
                     yield ids
@@ -89,22 +89,21 @@ class Transducer:
         if held:
             yield self.encode_short([held])[0]
 
-    def _between_words(self, held: str) -> int:
-        """The last place where pre-tokens part whatever follows; 0 if none."""
+    def _between_words(self, held: str) -> tuple[list[int], int]:
+        """Ids up to the last place found where pre-tokens part whatever follows, and the place; 0 if none."""
         end = len(held) - max([1, *map(len, self.special)])
         cut = 0
         for at in range(max(0, end - 4096), -1, -4096):
             for m in _WORD_BREAK.finditer(held, at, end):
                 cut = m.start()
             if cut:
-                return cut
-        for s in self.special:
-            if (k := held.rfind(s)) >= 0:
-                cut = max(cut, k + len(s))
+                return self.encode_short([held[:cut]])[0], cut
+        cut = max([0, *(k + len(s) for s in self.special if (k := held.rfind(s)) >= 0)])
         if cut:
-            return cut
-        pieces = self.tok.pre_tokenizer.pre_tokenize_str(held)[:-2]
-        return max((e for _, (_, e) in pieces if e <= end), default=0)
+            return self.encode_short([held[:cut]])[0], cut
+        # Pieces one by one: white space at the end of a text would be split otherwise than before a word.
+        pieces = [(p, e) for p, (_, e) in self.tok.pre_tokenizer.pre_tokenize_str(held)[:-2] if e <= end]
+        return [t.id for p, _ in pieces for t in self.tok.model.tokenize(p)], pieces[-1][1] if pieces else 0
 
     def _inside_word(self, held: str) -> tuple[list[int], int]:
         """Stable ids of the long pre-token that held begins with, and the characters they cover."""
@@ -152,12 +151,18 @@ def transducer(path: str, window: int = WINDOW) -> Transducer:
     return _made[path, window]
 
 
-def _id_lists(t: Transducer, texts: list[str]) -> Iterator[Iterator[list[int]] | list[list[int]]]:
-    """For each text its lists of ids; those within a window are encoded together."""
-    short = [i for i, x in enumerate(texts) if len(x) <= t.window]
-    ids = dict(zip(short, t.encode_short([texts[i] for i in short])))
-    for i, x in enumerate(texts):
-        yield [ids[i]] if i in ids else t.encode([x])
+#: Texts the library encodes at once; its results hold every token's string and offsets.
+TOGETHER = 32
+
+
+def _id_lists(t: Transducer, texts: list[str]) -> Iterator[Iterator[list[int]]]:
+    """For each text its lists of ids, to be used before the next; those within a window are encoded a few together."""
+    for at in range(0, len(texts), TOGETHER):
+        part = texts[at : at + TOGETHER]
+        short = [x for x in part if len(x) <= t.window]
+        ids = iter(t.encode_short(short))
+        for x in part:
+            yield iter([next(ids)]) if len(x) <= t.window else t.encode([x])
 
 
 def _add(docs: DataFrame, column: str, new: list[tuple[str, T.DataType]], values) -> DataFrame:
@@ -176,12 +181,16 @@ def _add(docs: DataFrame, column: str, new: list[tuple[str, T.DataType]], values
     return docs.mapInArrow(run, schema)
 
 
+def _joined(lists: Iterable[list[int]]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int32), *(np.asarray(part, np.int32) for part in lists)])
+
+
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with ids, an array of int."""
 
     def values(texts):
         t = transducer(tokenizer, window)
-        return [[[i for part in lists for i in part] for lists in _id_lists(t, [x or "" for x in texts])]]
+        return [[_joined(lists) for lists in _id_lists(t, [x or "" for x in texts])]]
 
     return _add(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], values)
 
@@ -191,7 +200,7 @@ def encode_checked(docs: DataFrame, tokenizer: str, text_col: str = "text", wind
 
     def values(texts):
         t = transducer(tokenizer, window)
-        ids = [np.concatenate([np.empty(0, np.int32), *(np.asarray(part, np.int32) for part in lists)]) for lists in _id_lists(t, [x or "" for x in texts])]
+        ids = [_joined(lists) for lists in _id_lists(t, [x or "" for x in texts])]
         digests = []
         for x in ids:
             h = hashlib.sha256()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waymark.session import ship
 
 #: Rows handed to a Python worker at once; texts of any length pass, so few rows keep a batch small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -1,6 +1,6 @@
 """Near-duplicates among embeddings: iterative quantisation, multi-index Hamming tables, exact reranking.
 
-Fit (bounded sample of FIT_ROWS vectors): unit vectors are centred and projected to their principal directions, and a
+Fit (bounded sample of FIT_ROWS vectors): unit vectors are projected to their principal directions, and a
 rotation is learned by alternating signs and an orthogonal Procrustes fit (ITQ), so that the codes are balanced.
 
 Search: every vector is indexed and is a query. A table holds b of the code's bits; b grows with log2 of the number of
@@ -47,9 +47,10 @@ def vectors(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def itq(rows: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) whose signs are the code of a unit vector."""
-    mean = rows.mean(axis=0)
-    x = rows - mean
+    """(mean, projection) whose signs are the code of a unit vector. The mean is that of antipodal pairs, zero: planes
+    through the origin keep the chance that a pair parts to its angle, also where all vectors lean to one side."""
+    mean = np.zeros(rows.shape[1])
+    x = rows
     _, vec = np.linalg.eigh(x.T @ x)
     w = vec[:, ::-1][:, :bits]
     v = x @ w
@@ -238,12 +239,12 @@ def annotate(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     lows = t1.where("__raw is not null or __same <> __uid").groupBy(F.col("__same").alias("uid")).agg(F.min(low).alias("low"))
     named = stored(named.join(lows, "uid"), "vec-roots")
     least = stored(named.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("c")).where("c > 1").select("root", "least"), "vec-least")
-    final = stored(named.join(least, "root", "left").select(F.col("uid").alias("__of"), "links", F.coalesce("least", "low").alias("low")), "vec-components")
+    final = stored(named.join(least, "root", "left").select(F.col("uid").alias("__of"), F.col("links").alias("__links"), F.coalesce("least", "low").alias("__low")), "vec-components")
     out = t1.join(final, F.col("__same") == F.col("__of"), "left")
     names = [free_name(carry, x) for x in ("n_links", "component_id", "kept")]
     return out.select(
         *[t1[f"`{c}`"] for c in carry],
-        F.coalesce("links", F.lit(0)).cast("long").alias(names[0]),
-        F.when(F.col("low").isNull(), t1[f"`{id_col}`"]).otherwise(F.col("low.id")).alias(names[1]),
-        (F.col("low").isNull() | (F.col("low.uid") == F.col("__uid"))).alias(names[2]),
+        F.coalesce("__links", F.lit(0)).cast("long").alias(names[0]),
+        F.when(F.col("__low").isNull(), t1[f"`{id_col}`"]).otherwise(F.col("__low.id")).alias(names[1]),
+        (F.col("__low").isNull() | (F.col("__low.uid") == F.col("__uid"))).alias(names[2]),
     )

@@ -115,15 +115,15 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         found = found.unionAll(x)
     # What representatives alone know (singletons of the rounds) comes from the local table.
     own = local.where(F.col(rest).isNotNull()).select(F.col(rep).alias("u"), F.col(n).alias("n"), F.struct(F.col(kid).alias("id"), F.col(kuid).alias("uid")).alias("keep"))
-    final = stored(own.join(found, "u", "left").select("u", F.coalesce("size", "n").alias("size"), F.coalesce("best", "keep").alias("best")), "exact-classes")
+    final = stored(own.join(found, "u", "left").select("u", F.coalesce("size", "n").alias("size"), F.coalesce("best", "keep").alias("best")), "exact-classes").toDF("__u", "__size", "__best")
     drop(*done)
     names = [free_name(carry, x) for x in ("keep_id", "group_size", "kept", "text_sha256")]
-    out = local.join(final, F.col(rep) == F.col("u"))
+    out = local.join(final, F.col(rep) == F.col("__u"))
     return out.select(
         *[local[f"`{c}`"] for c in carry],
-        F.col("best.id").alias(names[0]),
-        F.col("size").alias(names[1]),
-        (F.col("best.uid") == F.col(uid)).alias(names[2]),
+        F.col("__best.id").alias(names[0]),
+        F.col("__size").alias(names[1]),
+        (F.col("__best.uid") == F.col(uid)).alias(names[2]),
         F.col(sha).alias(names[3]),
     )
 

@@ -117,8 +117,13 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     of about BLOCK_TOKENS of a task, whose counts add up."""
 
     def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-        return pa.record_batch([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+        tokens = np.concatenate([np.empty(0, np.uint64), *sets])
+        sets.clear()
+        tokens.sort()
+        begin = np.nonzero(np.concatenate([np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1]]))[0]
+        n = np.diff(begin, append=len(tokens))
+        begin, n = begin[n > 1], n[n > 1]
+        return pa.record_batch([pa.array(tokens[begin].view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = [], 0
@@ -376,13 +381,13 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     lows = stored(named.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("c")).where("c > 1").select("root", "least"), "join-lows")
     final = stored(named.join(lows, "root", "left").select("uid", F.coalesce("least", "low").alias("low")), "join-components")
     drop(lows, named, links, reps)
-    out = t1.join(final.select(F.col("uid").alias("__same"), "low"), F.col(same) == F.col("__same"), "left")
+    out = t1.join(final.select(F.col("uid").alias("__same"), F.col("low").alias("__low")), F.col(same) == F.col("__same"), "left")
     names = [free_name(carry, x) for x in ("n_shingles", "component_id", "representative")]
     return out.select(
         *[t1[f"`{c}`"] for c in carry],
         F.col(n).alias(names[0]),
-        F.when(F.col("low").isNull(), t1[f"`{id_col}`"]).otherwise(F.col("low.id")).alias(names[1]),
-        (F.col("low").isNull() | (F.col("low.uid") == F.col(uid))).alias(names[2]),
+        F.when(F.col("__low").isNull(), t1[f"`{id_col}`"]).otherwise(F.col("__low.id")).alias(names[1]),
+        (F.col("__low").isNull() | (F.col("__low.uid") == F.col(uid))).alias(names[2]),
     )
 
 

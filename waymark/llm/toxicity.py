@@ -34,7 +34,7 @@ from waymark.llm.ngram_join import mixed, shingles
 
 MOST_TOXIC, MOST_CLEAN, SAMPLE_CHARS, CUT = 3_000, 9_000, 6_000, 0.7
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
-PRIOR, BIAS = np.array([3.0, 3.5, 0.8, 0.8, 4.0]), -3.0
+PRIOR, BIAS = np.array([3.0, 3.5, 0.8, 0.8, 5.0]), -3.0
 #: Log odds of a word or stem are clipped to LEXICON_MOST; a document's sum by kind to MOST_WEIGHT, and counted in UNITs.
 LEXICON_MOST, MOST_WEIGHT, UNIT = 8.0, 20.0, 5.0
 
