@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo, types, wkt
 from waymark.operators import candidates, evaluate, matchers, recover, trajectory
 from waymark.plans import fixtures, network
-from waymark.sources import geojson, text
+from waymark.sources import geojson, results, text
 from waymark.streaming.matcher import match_stream
 
 
@@ -109,6 +109,26 @@ def test_geojson_of_odd_names(spark, tables):
     assert back.count() == m.where("segment_id is not null").count()
 
 
+def test_results(spark, tables, tmp_path):
+    seg, pts = tables
+    m = matchers.match(pts, seg, "batch").cache()
+    a = evaluate.accuracy(m, m, seg)
+    results.write_csv(results.accuracy_table(a, 4.0, 2.0), str(tmp_path / "a"))
+    rows = spark.read.csv(str(tmp_path / "a"), header=True, inferSchema=True).orderBy("index").collect()
+    assert [r["index"] for r in rows] == list(range(len(rows))) and all(r.avgAcc == 1.0 and r.labelTime == 4.0 / len(rows) for r in rows)
+    p = results.point_table(a).orderBy("TrajectoryIndex").collect()
+    assert p[-1].totalPointNum == sum(r.currPointNum for r in p)
+    doc = geojson.write_matched(m)
+    assert {r.acc for r in evaluate.from_geojson(doc, doc, seg).collect()} == {1.0}
+    d = matchers.online_delays(pts, seg, window=5).collect()
+    assert all(0 <= r.corrected <= r.n * 10 and r.delay >= 0 for r in d)
+
+
+def test_grid_lines():
+    lngs, lats = geo.grid_lines(100.0, (104.0, 30.6, 104.01, 30.61))
+    assert lngs[0] == 104.0 and lngs[-1] <= 104.01 and len(lats) == 12
+
+
 def test_types():
     assert types.normalize("INT") == "Integer" and types.is_date("datetime") and types.is_point("point") and types.is_geometry("polygon")
     with pytest.raises(ValueError):

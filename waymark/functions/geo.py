@@ -153,6 +153,13 @@ def grid_steps(metres: float, min_lat: float, max_lat: float) -> tuple[float, fl
     return step / math.cos(math.radians((min_lat + max_lat) / 2)), step
 
 
+def grid_lines(metres: float, box: tuple[float, float, float, float]) -> tuple[list[float], list[float]]:
+    """(longitudes, latitudes) of the lines of a grid over (min_lng, min_lat, max_lng, max_lat)."""
+    dx, dy = grid_steps(metres, box[1], box[3])
+    line = lambda low, high, d: [low + k * d for k in range(math.floor((high - low) / d + 1e-12) + 1)]
+    return line(box[0], box[2], dx), line(box[1], box[3], dy)
+
+
 def grid_cell(lng, lat, lngs: list[float], lats: list[float]) -> Column:
     """(row - 1) * (columns - 1) + column among the lines, -1 outside; a point on a line belongs to the cell before."""
     below = lambda v, lines: sum((F.lit(x) < col(v)).cast("int") for x in lines)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import baselines
 from waymark.operators.candidates import RADIUS, hits
-from waymark.operators.decoder import Match, Point, Weights, decode
+from waymark.operators.decoder import Decoder, Match, Point, Weights, decode
 from waymark.operators.routing import Candidate, Network
 from waymark.plans.network import collected
 from waymark.session import ship
@@ -124,3 +124,17 @@ def matched_length(points: DataFrame, expanded: DataFrame, radius: float = RADIU
         return pd.DataFrame({"tid": [pdf["tid"].iloc[0]], "length_m": [baselines.adaptive(network_of(net), points_of(pdf), compat)[1]]})
 
     return joined(points, expanded, radius).groupBy("tid").applyInPandas(fold, "tid string, length_m double")
+
+
+def online_delays(points: DataFrame, expanded: DataFrame, *, weights: str = "dynamic", window: int = 10, radius: float = RADIUS, compat: bool = False) -> DataFrame:
+    """(tid, n, corrected, delay): points that convergence corrected within the window, and the steps they waited in sum."""
+    net = broadcast_network(points.sparkSession, expanded)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = points_of(pdf)
+        d = Decoder(network_of(net), "online", Weights(dynamic=weights == "dynamic"), window, compat)
+        for p in found:
+            d.feed(p)
+        return pd.DataFrame({"tid": [pdf["tid"].iloc[0]], "n": [len(found)], "corrected": [d.delay_points], "delay": [d.delay]})
+
+    return joined(points, expanded, radius).groupBy("tid").applyInPandas(fold, "tid string, n long, corrected long, delay long")

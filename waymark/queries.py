@@ -12,7 +12,7 @@ from waymark.functions import coords, geo, types, wkt
 from waymark.operators import candidates as C
 from waymark.operators import evaluate, hmm, matchers, recover, shortest_path, trajectory
 from waymark.plans import fixtures, network
-from waymark.sources import geojson, text
+from waymark.sources import geojson, results, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -339,6 +339,18 @@ def match_online(spark, d):
     return _matched(spark, d, "online", window=20).select(*_SHOWN, "converged")
 
 
+@query()
+def online_delays(spark, d):
+    return matchers.online_delays(pts(spark, d), seg(spark, d), window=20)
+
+
+@query()
+def accuracy_of_documents(spark, d):
+    """Matched GeoJSON of the greedy matcher against that of the batch matcher."""
+    files = [geojson.write_matched(_matched(spark, d, m), raw=True) for m in ("batch", "greedy")]
+    return results.point_table(evaluate.from_geojson(*files, seg(spark, d)))
+
+
 @query()
 def match_adaptive(spark, d):
     return _matched(spark, d, "amm").select(*_SHOWN)
