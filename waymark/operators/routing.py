@@ -109,7 +109,8 @@ class Network:
         self.found: OrderedDict[int, tuple[float, dict[int, tuple[float, int, int]]]] = OrderedDict()
 
     def _search(self, src: int, bound: float) -> dict[int, tuple[float, int, int]]:
-        """node -> (length, node before, segment) up to the bound."""
+        """node -> (length, node before, segment) up to the bound or a little more: rounded up, so that steps share searches."""
+        bound = math.ceil(bound / 500) * 500.0 if bound < math.inf else bound
         held = self.found.get(src)
         if held and held[0] >= bound:
             self.found.move_to_end(src)
