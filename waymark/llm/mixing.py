@@ -24,7 +24,7 @@ SEED, TEMPERATURE, EPOCHS = 17, 0.5, 1.0
 #: A source's row holds its distribution, some 50 to MOST_RATE * 9 bytes; so many of them are broadcast at most.
 BROADCAST_SOURCES, SALTS = 10_000, 64
 #: Rates are clipped here: no document is repeated more often in the mean.
-MOST_RATE = 100.0
+MOST_RATE = 1000.0
 
 
 def uniform(key: Column) -> Column:

@@ -160,11 +160,12 @@ def _stars(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
     rows = stored(named.distinct(), "join-rows")
     drop(hubs)
     # One hop: a hub that is in stars of smaller hubs gives its star to the smallest of them.
-    first = rows.groupBy(F.col("uid").alias("hub")).agg(F.min("hub").alias("to"))
+    # Stored, so that the join has plain sides and a hub with many rows can be split.
+    first = stored(rows.groupBy(F.col("uid").alias("hub")).agg(F.min("hub").alias("to")), "join-first")
     merged = rows.join(first, "hub", "left").select(F.coalesce(F.least("to", "hub"), "hub").alias("star"), "uid").distinct()
     many = stored(merged.groupBy("star").agg(F.count("*").alias("n")).where("n > 1").select("star"), "join-stars")
     members = stored(merged.join(many, "star"), "join-members")
-    drop(rows, many)
+    drop(rows, first, many)
     return members
 
 

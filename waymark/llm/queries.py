@@ -22,7 +22,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 s AS (SELECT source AS src, CAST(sum(octet_length(encode(t)) + 1) AS BIGINT) AS bytes FROM d GROUP BY source),
 w AS (SELECT *, pow(CAST(bytes AS DOUBLE), {TEMPERATURE}e0) AS w FROM s),
 r AS (SELECT src, least(round({EPOCHS}e0 * CAST((SELECT sum(bytes) FROM s) AS DOUBLE) * w / (SELECT sum(w) FROM w) / bytes, 9), {MOST_RATE}e0) AS rate FROM w),
-k AS (SELECT src, rate, CAST(k AS INTEGER) AS k FROM r, range(0, 400) AS g(k) WHERE k <= 30 + rate + 12 * sqrt(rate)),
+k AS (SELECT src, rate, CAST(k AS INTEGER) AS k FROM r, range(0, 1500) AS g(k) WHERE k <= 30 + rate + 12 * sqrt(rate)),
 c AS (SELECT src, rate, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS cdf FROM k),
 u AS (SELECT doc_id, source, md5(t) AS text_md5, CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(t))), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496e0 AS u, coalesce(CAST(doc_id AS VARCHAR), md5(t)) AS key FROM d),
 n AS (SELECT u.doc_id, u.source, u.text_md5, u.key, c.rate, count(*) FILTER (WHERE c.cdf <= u.u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.src GROUP BY ALL)
