@@ -91,7 +91,7 @@ def joined(points: DataFrame, expanded: DataFrame, radius: float = RADIUS) -> Da
     """Points with the legs in reach (misses stay), what the folds read.
 
     Points are dealt out by tid before the join, which keeps that, so the folds need no shuffle of the wider rows."""
-    given = points.select("tid", "oid", "idx", "time", "lng", "lat").repartition("tid")
+    given = points.select("tid", "oid", "idx", F.col("time").cast("timestamp").alias("time"), "lng", "lat").repartition("tid")
     return hits(given, expanded, radius, keep_misses=True).withColumn("millis", F.unix_millis("time"))
 
 

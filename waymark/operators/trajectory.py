@@ -13,6 +13,10 @@ def by_point() -> WindowSpec:
     return Window.partitionBy("tid").orderBy("idx")
 
 
+def _millis(name: str) -> Column:
+    return F.unix_millis(F.col(name).cast("timestamp"))
+
+
 def stride(points: DataFrame, skip: int) -> DataFrame:
     """Keeps one and skips `skip` (by idx, which is the ordinal)."""
     return points.where(F.col("idx") % (skip + 1) == 0)
@@ -52,14 +56,14 @@ def statistics(points: DataFrame) -> DataFrame:
         F.count("*").alias("n"), *[at(F.min_by, c).alias(f"start_{c}") for c in ("time", "lng", "lat")], *[at(F.max_by, c).alias(f"end_{c}") for c in ("time", "lng", "lat")],
         *[f(c).alias(f"{k}_{c}") for c in ("lng", "lat") for k, f in (("min", F.min), ("max", F.max))], (F.coalesce(F.sum("leg_m"), F.lit(0.0)) / 1000).alias("length_km"),
     )
-    hours = (F.unix_millis("end_time") - F.unix_millis("start_time")) / F.lit(3_600_000.0)
+    hours = (_millis("end_time") - _millis("start_time")) / F.lit(3_600_000.0)
     return s.withColumn("speed_kmh", F.try_divide(F.col("length_km"), F.nullif(hours, F.lit(0.0))))
 
 
 def moving_speed(points: DataFrame, window: int = 5) -> DataFrame:
     """speed in m/s of each leg and its mean over the last few."""
     p = pairs(points)
-    seconds = (F.unix_millis("time") - F.unix_millis("prev_time")) / F.lit(1000.0)
+    seconds = (_millis("time") - _millis("prev_time")) / F.lit(1000.0)
     p = p.withColumn("speed", F.try_divide(F.col("leg_m"), F.nullif(seconds, F.lit(0.0))))
     return p.withColumn("mean_speed", F.avg("speed").over(by_point().rowsBetween(-(window - 1), 0)))
 

@@ -30,7 +30,7 @@ def match_stream(points: DataFrame, expanded: DataFrame, method: str = "greedy",
     if method not in ("greedy", "online"):
         raise ValueError("streams are matched by greedy or online")
     net = broadcast_network(points.sparkSession, expanded)
-    flat = hits(points.select("tid", "oid", "idx", "time", "lng", "lat"), expanded, radius, keep_misses=True).withColumn("millis", F.unix_millis("time"))
+    flat = hits(points.select("tid", "oid", "idx", F.col("time").cast("timestamp").alias("time"), "lng", "lat"), expanded, radius, keep_misses=True).withColumn("millis", F.unix_millis("time"))
     limit = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else None
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
