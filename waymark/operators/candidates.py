@@ -42,14 +42,25 @@ def cells(segments: DataFrame, radius: float = RADIUS) -> DataFrame:
     return legs(segments).withColumns(box).withColumn("cx", span("west", "east")).withColumn("cy", span("south", "north"))
 
 
+def _rate(lng: str, lat: str) -> Column:
+    along = haversine("x1", "y1", lng, lat) * F.cos(F.radians(bearing("x1", "y1", lng, lat) - F.col("leg_bearing")))
+    return F.coalesce(F.try_divide(along, F.nullif(F.col("leg_m"), F.lit(0.0))), F.lit(0.0))
+
+
 def foot(lng: str, lat: str) -> tuple[Column, Column, Column]:
-    """(err_m, cand_lng, cand_lat): the place of a point on a row of legs()."""
-    rate = F.coalesce(F.try_divide(haversine("x1", "y1", lng, lat) * F.cos(F.radians(bearing("x1", "y1", lng, lat) - F.col("leg_bearing"))), F.nullif(F.col("leg_m"), F.lit(0.0))), F.lit(0.0))
+    """(err_m, cand_lng, cand_lat): the place of a point on a row of legs(); beyond a leg's ends the ends themselves."""
+    rate = _rate(lng, lat)
     on = lambda a, b: F.when(rate > 1, F.col(b)).when(rate < 0, F.col(a)).otherwise(F.col(a) + rate * (F.col(b) - F.col(a)))
     x, y = on("x1", "x2"), on("y1", "y2")
     return haversine(lng, lat, x, y), x, y
 
 
+def reach(lng: str, lat: str) -> Column:
+    """The same distance to rounding, for conditions: those share no subexpressions, and this names the rate few times."""
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _rate(lng, lat)))
+    return haversine(lng, lat, F.col("x1") + held * (F.col("x2") - F.col("x1")), F.col("y1") + held * (F.col("y2") - F.col("y1")))
+
+
 def hits(points: DataFrame, segments: DataFrame, radius: float = RADIUS, keep_misses: bool = False, broadcast: bool | None = None) -> DataFrame:
     """points with segment_id, matched_index, err_m, cand_lng, cand_lat, offset_m: a row for each LEG within the radius."""
     cut, cell = cells(segments, radius), cell_degrees(radius)
@@ -58,7 +69,7 @@ def hits(points: DataFrame, segments: DataFrame, radius: float = RADIUS, keep_mi
     p = points.withColumns({"__cx": F.floor(F.col("lng") / cell), "__cy": F.floor(F.col("lat") / cell)})
     err, x, y = foot("lng", "lat")
     inside = F.col("lng").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    j = p.join(cut, (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")) & inside & (err <= radius), "left" if keep_misses else "inner")
+    j = p.join(cut, (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")) & inside & (reach("lng", "lat") <= radius), "left" if keep_misses else "inner")
     found = j.select(*points.columns, "segment_id", "matched_index", err.alias("err_m"), x.alias("cand_lng"), y.alias("cand_lat"), "x1", "y1", "before_m")
     offset = F.col("before_m") + haversine("x1", "y1", "cand_lng", "cand_lat")
     return found.select(*points.columns, "segment_id", "matched_index", *[F.when(F.col("segment_id").isNotNull(), F.col(c)).alias(c) for c in ("err_m", "cand_lng", "cand_lat")], offset.alias("offset_m"))

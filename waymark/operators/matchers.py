@@ -15,7 +15,7 @@ from waymark.operators.candidates import RADIUS, hits
 from waymark.operators.decoder import Decoder, Match, Point, Weights, decode
 from waymark.operators.routing import Candidate, Network
 from waymark.plans.network import collected
-from waymark.session import ship
+from waymark.session import ship, width
 
 MATCHED = "tid string, oid string, idx int, time timestamp, raw_lng double, raw_lat double, segment_id int, lng double, lat double, err_m double, offset_m double, matched_index int, cand_index int, skipped boolean, revision int, converged boolean"
 METHODS = ("batch", "greedy", "online", "amm", "aomm", "dwrmm")
@@ -91,7 +91,7 @@ def joined(points: DataFrame, expanded: DataFrame, radius: float = RADIUS) -> Da
     """Points with the legs in reach (misses stay), what the folds read.
 
     Points are dealt out by tid before the join, which keeps that, so the folds need no shuffle of the wider rows."""
-    given = points.select("tid", "oid", "idx", F.col("time").cast("timestamp").alias("time"), "lng", "lat").repartition("tid")
+    given = points.select("tid", "oid", "idx", F.col("time").cast("timestamp").alias("time"), "lng", "lat").repartition(width(points.sparkSession), "tid")
     return hits(given, expanded, radius, keep_misses=True).withColumn("millis", F.unix_millis("time"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import polyline_length
+from waymark.session import width
 
 SIDE = 12
 
@@ -38,7 +39,7 @@ def road_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gps_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tid, oid, idx, time, lng, lat, event_id."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts").repartition(width(spark), "user_id")
     k = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int")
     e = e.withColumn("idx", k).withColumn("s", 0.15 * F.col("idx")).withColumn("e", F.floor("s")).withColumn("f", F.col("s") - F.col("e"))
     tri = lambda z: F.lit(11) - F.abs(z % 22 - 11)

@@ -25,6 +25,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for work that costs much more than its bytes show, which Spark would otherwise coalesce to a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def checkpointed(spark: SparkSession) -> None:
     """A checkpoint folder for the session: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext
