@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
 from waymark.functions.geo import PER_METRE, bearing, haversine, leg_lengths
 
 RADIUS = 50.0
@@ -55,21 +56,36 @@ def foot(lng: str, lat: str) -> tuple[Column, Column, Column]:
     return haversine(lng, lat, x, y), x, y
 
 
-def reach(lng: str, lat: str) -> Column:
-    """The same distance to rounding, for conditions: those share no subexpressions, and this names the rate few times."""
-    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _rate(lng, lat)))
-    return haversine(lng, lat, F.col("x1") + held * (F.col("x2") - F.col("x1")), F.col("y1") + held * (F.col("y2") - F.col("y1")))
+def reach() -> Column:
+    """The same distance to rounding, for the join's condition: radians, sines and cosines of points and legs are
+    columns, as large generated methods are not compiled by the JVM."""
+    d = F.col("__lng") - F.col("lng1")
+    a = F.pow(F.sin((F.col("__lat") - F.col("lat1")) / 2), 2) + F.col("cos1") * F.col("__cos") * F.pow(F.sin(d / 2), 2)
+    x, y = F.col("cos1") * F.col("__sin") - F.col("sin1") * F.col("__cos") * F.cos(d), F.sin(d) * F.col("__cos")
+    along = 2 * geo.RADIUS * F.asin(F.sqrt(a)) * F.cos(F.atan2(y, x) - F.col("turn_b"))
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along * F.col("per_m")))
+    lat = F.col("lat1") + held * F.col("dlat")
+    b = F.pow(F.sin((F.col("__lat") - lat) / 2), 2) + F.cos(lat) * F.col("__cos") * F.pow(F.sin((d - held * F.col("dlng")) / 2), 2)
+    return 2 * geo.RADIUS * F.asin(F.sqrt(b))
+
+
+def _angles(name: str, lng: str, lat: str) -> dict[str, Column]:
+    rad = F.radians(F.col(lat))
+    return {f"{name}lng": F.radians(F.col(lng)), f"{name}lat": rad, f"{name}cos": F.cos(rad), f"{name}sin": F.sin(rad)}
 
 
 def hits(points: DataFrame, segments: DataFrame, radius: float = RADIUS, keep_misses: bool = False, broadcast: bool | None = None) -> DataFrame:
     """points with segment_id, matched_index, err_m, cand_lng, cand_lat, offset_m: a row for each LEG within the radius."""
     cut, cell = cells(segments, radius), cell_degrees(radius)
+    own = {k.replace("leg_", "") + "1": v for k, v in _angles("leg_", "x1", "y1").items()}
+    own |= {"dlng": F.radians(F.col("x2") - F.col("x1")), "dlat": F.radians(F.col("y2") - F.col("y1")), "turn_b": F.radians("leg_bearing"), "per_m": F.coalesce(F.try_divide(F.lit(1.0), F.nullif(F.col("leg_m"), F.lit(0.0))), F.lit(0.0))}
+    cut = cut.withColumns(own)
     if broadcast or broadcast is None and cut.count() <= BROADCAST_CELLS:
         cut = F.broadcast(cut)
-    p = points.withColumns({"__cx": F.floor(F.col("lng") / cell), "__cy": F.floor(F.col("lat") / cell)})
+    p = points.withColumns({"__cx": F.floor(F.col("lng") / cell), "__cy": F.floor(F.col("lat") / cell), **_angles("__", "lng", "lat")})
     err, x, y = foot("lng", "lat")
     inside = F.col("lng").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    j = p.join(cut, (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")) & inside & (reach("lng", "lat") <= radius), "left" if keep_misses else "inner")
+    j = p.join(cut, (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")) & inside & (reach() <= radius), "left" if keep_misses else "inner")
     found = j.select(*points.columns, "segment_id", "matched_index", err.alias("err_m"), x.alias("cand_lng"), y.alias("cand_lat"), "x1", "y1", "before_m")
     offset = F.col("before_m") + haversine("x1", "y1", "cand_lng", "cand_lat")
     return found.select(*points.columns, "segment_id", "matched_index", *[F.when(F.col("segment_id").isNotNull(), F.col(c)).alias(c) for c in ("err_m", "cand_lng", "cand_lat")], offset.alias("offset_m"))
