@@ -214,6 +214,21 @@ def test_recall_on_tables(spark):
     assert 0.9 * want <= got <= want and want > 0
 
 
+@pytest.mark.parametrize("n", [10_000, 50_000, 1 << 20, 1 << 26])
+@pytest.mark.parametrize("d", [24, 64, 200])
+def test_recall_does_not_fall_with_size(n, d):
+    """Pairs at the threshold, with the plan of n vectors."""
+    rng = np.random.default_rng([n, d])
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    learned = embedding_dedup.itq(unit(rng.standard_normal((2000, d))), min(64, d), 5)
+    coder = embedding_dedup.Coder(*learned, embedding_dedup.plan(n, min(64, d)))
+    x, u = unit(rng.standard_normal((4000, d))), rng.standard_normal((4000, d))
+    y = 0.9 * x + math.sqrt(1 - 0.81) * unit(u - (u * x).sum(1)[:, None] * x)
+    assert (coder.keys(x) == coder.keys(y)).any(1).mean() >= 0.955
+    bits = np.concatenate(coder.tables)
+    assert len(np.unique(bits)) == len(bits)
+
+
 # ---------------------------------------------------------------- mixing and sharding
 
 

@@ -5,7 +5,8 @@ rotation is learned by alternating signs and an orthogonal Procrustes fit (ITQ),
 
 Search: every vector is indexed and is a query. A table holds b of the code's bits; b grows with log2 of the number of
 vectors, so that buckets keep their size, and the number of tables is what makes a pair AT the threshold meet in one of
-them with probability WANTED. Vectors of a bucket are compared by their original values in double precision, all against
+them with probability WANTED. No two tables share a bit, or misses would go together: the code is as long as they need,
+the learned planes first, then random ones, each of which parts a pair by chance of its angle alone. Vectors of a bucket are compared by their original values in double precision, all against
 all; a bucket of more than 2 * HALF is cut into blocks and each pair of blocks is a task. A pair is counted in the first
 table where it meets. Tasks return counts and a spanning forest of their links, never pairs.
 
@@ -35,6 +36,7 @@ from waymark.llm.graph import components
 
 THRESHOLD, WANTED, BITS, BUCKET, HALF = 0.9, 0.97, 64, 64, 512
 FIT_ROWS, ROUNDS, SEED = 5_000, 30, 13
+KEY = np.dtype("<u4")
 
 
 def vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -62,33 +64,34 @@ def itq(rows: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = SEED) ->
 
 
 def plan(n: int, bits: int, threshold: float = THRESHOLD) -> list[np.ndarray]:
-    """The bits of each table, for n vectors with codes of so many bits."""
+    """The bits of each table, for n vectors with so many learned bits; a bit is in one table at most, so they go beyond those."""
     b = max(1, min(bits, round(math.log2(max(n, 2) / BUCKET)), 24))
     meet = (1 - math.acos(threshold) / math.pi) ** b
     tables = max(1, math.ceil(math.log(1 - WANTED) / math.log(1 - meet))) if meet < 1 else 1
     rng = np.random.default_rng(SEED)
-    chosen, left = [], np.empty(0, int)
-    for _ in range(tables):  # bits are dealt out evenly
-        if len(left) < b:
-            left = np.concatenate([left, rng.permutation(bits)])
-        own, left = np.unique(left[:b]), left[b:]
-        chosen.append(own)
-    return chosen
+    rest = np.arange(bits, max(bits, tables * b))
+    dealt = np.concatenate([rng.permutation(bits), rest])
+    return [np.sort(dealt[t * b : (t + 1) * b]) for t in range(tables)]
+
+
+def planes(learned: np.ndarray, tables: list[np.ndarray], seed: int = SEED) -> np.ndarray:
+    """The learned projection, and random planes of the whole space for the bits beyond it."""
+    more = max(int(t[-1]) for t in tables) + 1 - learned.shape[1]
+    return np.hstack([learned, np.random.default_rng([seed, 1]).standard_normal((len(learned), max(more, 0)))])
 
 
 class Coder:
     def __init__(self, mean: np.ndarray, projection: np.ndarray, tables: list[np.ndarray]):
-        self.mean, self.projection = mean, projection
-        self.masks = [np.uint64(sum(1 << int(k) for k in t)) for t in tables]
+        self.mean, self.projection, self.tables = mean, planes(projection, tables), tables
 
-    def codes(self, unit: np.ndarray) -> np.ndarray:
-        """Codes of unit vectors; lengths other than the fitted one get a projection by rule."""
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        """The key of each table (columns), for unit vectors; lengths other than the fitted one get a projection by rule."""
         if unit.shape[1] == len(self.mean):
             signs = (unit - self.mean) @ self.projection >= 0
         else:
             rng = np.random.default_rng(unit.shape[1])
             signs = unit @ rng.standard_normal((unit.shape[1], self.projection.shape[1])) >= 0
-        return signs.astype(np.uint64) @ (np.uint64(1) << np.arange(signs.shape[1], dtype=np.uint64))
+        return np.stack([signs[:, t] @ (np.uint32(1) << np.arange(len(t), dtype=np.uint32)) for t in self.tables], axis=1).astype(KEY)
 
 
 def fit(vecs: DataFrame, vec_col: str, threshold: float = THRESHOLD) -> Coder:
@@ -126,8 +129,8 @@ def _index(coder: Coder, at: int, kept: int, arrow: pa.Schema, single: bool):
             for d in {len(found[i]) for i in first.values()}:
                 own = [i for i in first.values() if len(found[i]) == d]
                 unit = np.array([found[i] for i in own])
-                for i, c in zip(own, coder.codes(unit / np.linalg.norm(unit, axis=1)[:, None]).view(np.int64).tolist()):
-                    code[i] = c
+                for i, c in zip(own, coder.keys(unit / np.linalg.norm(unit, axis=1)[:, None])):
+                    code[i] = c.tobytes()
             cols = [[base + i for i in range(b.num_rows)], same, sig, code, raw, [c if s is not None else None for c, s in zip(count, sig)]]
             yield pa.record_batch([*b.columns[:kept], *(pa.array(c, arrow.field(kept + k).type) for k, c in enumerate(cols))], schema=arrow)
             base += b.num_rows
@@ -135,7 +138,7 @@ def _index(coder: Coder, at: int, kept: int, arrow: pa.Schema, single: bool):
     return run
 
 
-def _compare(masks: list[np.uint64], threshold: float, kind):
+def _compare(threshold: float, kind):
     def decide(key: tuple, uids: list, codes: list, raws: list, weights: list, sides: list) -> list[tuple[int, int | None, int]]:
         table, rows = key[0], {}
         for d in {len(r) for r in raws}:
@@ -147,16 +150,16 @@ def _compare(masks: list[np.uint64], threshold: float, kind):
             x = np.array([np.frombuffer(raws[i], kind) for i in own], np.float64)
             x /= np.linalg.norm(x, axis=1)[:, None]
             cos = x @ x.T
-            code, side, weight = np.array([codes[i] for i in own], np.int64).view(np.uint64), np.array([sides[i] for i in own]), np.array([weights[i] for i in own])
+            code, side, weight = np.frombuffer(b"".join(codes[i] for i in own), KEY).reshape(len(own), table), np.array([sides[i] for i in own]), np.array([weights[i] for i in own])
             hit = cos >= threshold
             np.fill_diagonal(hit, False)
             if key[2] != key[3]:
                 hit &= side[:, None] != side[None, :]
             i, j = np.nonzero(hit)
             if table and len(i):
-                diff, new = code[i] ^ code[j], np.ones(len(i), bool)
-                for m in masks[:table]:
-                    new &= (diff & m) != 0
+                new = np.ones(len(i), bool)
+                for k in code.T:
+                    new &= k[i] != k[j]
                 i, j = i[new], j[new]
             if not len(i):
                 continue
@@ -208,7 +211,7 @@ def annotate(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     coder = fit(vecs, vec_col, threshold)
     kept = list(dict.fromkeys([*carry, id_col]))
     given = vecs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{vec_col}`").alias("__vec"))
-    new = [("__uid", T.LongType()), ("__same", T.LongType()), ("__sig", T.BinaryType()), ("__code", T.LongType()), ("__raw", T.BinaryType()), ("__n", T.LongType())]
+    new = [("__uid", T.LongType()), ("__same", T.LongType()), ("__sig", T.BinaryType()), ("__code", T.BinaryType()), ("__raw", T.BinaryType()), ("__n", T.LongType())]
     schema = T.StructType([*(vecs.schema[c] for c in kept), *(T.StructField(*x) for x in new)])
     single = isinstance(vecs.schema[vec_col].dataType.elementType, T.FloatType)
     t1 = stored(given.mapInArrow(_index(coder, len(kept), len(kept), to_arrow_schema(schema), single), schema), "vec-index")
@@ -219,16 +222,17 @@ def annotate(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     ones = reps.where("uid = rep").select("uid", "w")
     coded = t1.where("__sig is not null").select(F.col("__uid").alias("uid"), F.col("__code").alias("code"), F.col("__raw").alias("raw")).join(ones, "uid")
     coded = stored(coded, "vec-coded")
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("k")) for t, m in enumerate(coder.masks)]))
+    tables = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(coder.tables) - 1)), lambda t: F.struct(t.alias("t"), F.substring("code", 4 * t + 1, F.lit(4)).alias("k"))))
     keyed = coded.select("uid", tables.alias("x")).select("uid", "x.t", "x.k")
     sizes = stored(keyed.groupBy("t", "k").agg(F.count("*").alias("c")).where("c > 1"), "vec-buckets")
     blocks = F.when(F.col("c") <= 2 * HALF, 1).otherwise(F.ceil(F.col("c") / HALF)).cast("int")
-    full = coded.select("uid", "code", "raw", "w", tables.alias("x")).select("uid", "code", "raw", "w", "x.t", "x.k")
+    before = F.substring("code", F.lit(1), 4 * F.col("x.t")).alias("code")  # keys in the tables before, to count a pair once
+    full = coded.select("uid", "code", "raw", "w", tables.alias("x")).select("uid", before, "raw", "w", "x.t", "x.k")
     dealt = full.join(sizes, ["t", "k"]).withColumn("nb", blocks).withColumn("s", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
     dealt = dealt.select("t", "k", "uid", "code", "raw", "w", "s", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
     # Within one block (i = j) a pair is met by every task of the block, so i = j alone counts it.
     dealt = dealt.select("t", "k", F.least("s", "y").alias("i"), F.greatest("s", "y").alias("j"), "uid", "code", "raw", "w", F.col("s").alias("side"))
-    run = _compare(coder.masks, threshold, np.float32 if single else np.float64)
+    run = _compare(threshold, np.float32 if single else np.float64)
     found = stored(dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(run, "a long, b long, n long"), "vec-links")
 
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
