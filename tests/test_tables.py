@@ -151,3 +151,20 @@ def test_unmoving_points(spark):
     w = trajectory.window_bearing(p).orderBy("idx").collect()
     assert [r.idx for r in w] == [0, 2, 4, 6] and w[-1].stable and not w[0].stable
     assert [r.idx for r in trajectory.stride(p, 2).orderBy("idx").collect()] == [0, 3, 6]
+
+
+def test_shortest_paths_of_all_sources(spark, sf, tables):
+    """Every pair of nodes, by both methods, against least sums over each middle node."""
+    from waymark import queries
+
+    nodes = [r.node_id for r in fixtures.road_nodes(spark, sf).collect()]
+    want = {(a, b): 0.0 if a == b else float("inf") for a in nodes for b in nodes}
+    for r in network.edges(tables[0]).collect():
+        want[r.src, r.dst] = min(want[r.src, r.dst], r.length_m)
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                want[a, b] = min(want[a, b], want[a, k] + want[k, b])
+    for name in ("shortest_paths_all", "shortest_paths_iterative_all"):
+        got = {(r.src, r.dst): r.length_m for r in queries.QUERIES[name](spark, sf).where("length_m is not null").collect()}
+        assert got == pytest.approx({p: w for p, w in want.items() if w < float("inf")}, abs=1e-5) and len(nodes) == 144

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -284,6 +285,24 @@ def shortest_paths_iterative(spark, d):
     return shortest_path.iterative(n, network.edges(seg(spark, d)), 900.0).select("src", "dst", *r6("length_m"))
 
 
+@query(f"WITH {O.NET}, {O.SP} SELECT p.node_id AS src, q.node_id AS dst, round(s.d, 6) AS length_m FROM nodes p CROSS JOIN nodes q LEFT JOIN sp s ON s.src = p.node_id AND s.dst = q.node_id")
+def shortest_paths_all(spark, d):
+    """Every node as a source."""
+    n = fixtures.road_nodes(spark, d)
+    pairs = n.select(F.col("node_id").alias("src")).crossJoin(n.select(F.col("node_id").alias("dst")))
+    return shortest_path.shortest_paths(pairs, seg(spark, d)).select("src", "dst", *r6("length_m"))
+
+
+@query(f"WITH {O.NET}, {O.SP} SELECT src, dst, round(d, 6) AS length_m FROM sp")
+def shortest_paths_iterative_all(spark, d):
+    """Every node as a source, without a bound."""
+    from waymark.session import checkpointed
+
+    checkpointed(spark)
+    n = fixtures.road_nodes(spark, d).select(F.col("node_id").alias("src"))
+    return shortest_path.iterative(n, network.edges(seg(spark, d)), math.inf).select("src", "dst", *r6("length_m"))
+
+
 @query(f"{_CAND} SELECT tid, idx, segment_id, round(ln(1 / (sqrt(2 * pi()) * 50e0)) - 0.5e0 * pow(err_m / 50e0, 2), 6) AS log_p FROM cand")
 def emissions(spark, d):
     return C.candidates(pts(spark, d), seg(spark, d)).select("tid", "idx", "segment_id", F.round(hmm.emission("err_m"), 6).alias("log_p"))
