@@ -262,6 +262,34 @@ def test_mixing(spark, docs, none):
     assert {r.source for r in mixing.mix(docs, only).collect()} <= {"b"}
 
 
+def test_high_rates_reach_their_target(spark):
+    """A source that is wanted some 15,000 times over, by weights and by a large corpus; the others as without it."""
+    rows = [(k, "a", "x" * 9_999) for k in range(30)] + [(100, "b", "y" * 9), (None, "b", "z" * 3), (102, "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    per = {"a": 300_000, "b": 15}
+    got = mixing.mix(df, spark.createDataFrame([("a", 0.25), ("b", 0.75)], "source string, weight double"))
+    rate = {"a": 0.25 * 300_015 / per["a"], "b": 0.75 * 300_015 / per["b"]}
+    n = {r.doc_id: r for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("top"), F.countDistinct("copy").alias("all"), F.max("n_copies").alias("said"), F.max("rate").alias("rate")).collect()}
+    for i in (100, 102, None):
+        r = n[i]
+        assert abs(r.n - rate["b"]) < 6 * rate["b"] ** 0.5 and r.n == r.top == r.all == r.said and r.rate == pytest.approx(rate["b"])
+    assert len({n[i].n for i in (100, 102, None)}) > 1
+    small = mixing.mix(df, epochs=0.01).groupBy("source").agg(F.count("*").alias("n")).collect()
+    assert {r.source for r in small} <= {"a", "b"}
+    low = collections.Counter(r.doc_id for r in got.where("source = 'a'").collect())
+    alone = mixing.mix(df.where("source = 'a'"), epochs=rate["a"]).collect()
+    assert low == collections.Counter(r.doc_id for r in alone)
+
+
+def test_sums_of_draws_are_poisson(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_RATE", 0.7)
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("t").alias("text"))
+    got = collections.Counter(r.doc_id for r in mixing.mix(df, epochs=4.0).select("doc_id").collect())
+    n = np.array([got[k] for k in range(4000)])
+    assert abs(n.mean() - 4) < 0.15 and abs(n.var() - 4) < 0.5 and abs((n == 0).mean() - math.exp(-4)) < 0.01
+
+
 def test_salted_mixing_is_the_same(docs, monkeypatch):
     one = sorted((r.mix_key, r.n_copies) for r in mixing.mix(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)

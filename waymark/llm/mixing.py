@@ -2,7 +2,8 @@
 
 Each source has a target share; its mean repetition rate is share * budget / bytes of the source. A document's number of
 copies is the inverse of the Poisson distribution with that mean at a uniform number taken from a seeded hash of its id,
-so runs repeat, and any part of the corpus can be mixed alone. Documents are exploded by their counts and dealt out by a
+so runs repeat, and any part of the corpus can be mixed alone. A mean above MOST_RATE is cut into equal parts of at most
+that, each drawn at a number of its own, and their sum is again Poisson: rates have no bound, distributions do. Documents are exploded by their counts and dealt out by a
 second seeded hash: the row's partition and its place there are random, which shuffles globally without a sample.
 
 Per source only (bytes, rate, distribution) is kept: partial aggregation makes it, and it is broadcast when the counted
@@ -23,8 +24,10 @@ from waymark.llm.common import free_name, stored
 SEED, TEMPERATURE, EPOCHS = 17, 0.5, 1.0
 #: A source's row holds its distribution, some 50 to MOST_RATE * 9 bytes; so many of them are broadcast at most.
 BROADCAST_SOURCES, SALTS = 10_000, 64
-#: Rates are clipped here: no document is repeated more often in the mean.
+#: The highest mean of a single draw; higher rates are sums of draws.
 MOST_RATE = 1000.0
+#: Copies are exploded in blocks of so many, so that no array grows with the rate.
+BLOCK = 10_000
 
 
 def uniform(key: Column) -> Column:
@@ -33,7 +36,7 @@ def uniform(key: Column) -> Column:
 
 
 def rates(docs: DataFrame, source_col: str, text_col: str, weights: DataFrame | None, temperature: float, epochs: float) -> DataFrame:
-    """Per source: src, bytes, rate, cdf. weights: (source, weight), or bytes ** temperature where it is None."""
+    """Per source: src, bytes, rate, parts, cdf (of a part's draw). weights: (source, weight), or bytes ** temperature where it is None."""
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + F.lit(1)
     per = docs.groupBy(F.col(source_col).alias("src")).agg(F.sum(size.cast("long")).alias("bytes"))
     if weights is None:
@@ -43,12 +46,13 @@ def rates(docs: DataFrame, source_col: str, text_col: str, weights: DataFrame |
         per = per.join(given, F.col("src").eqNullSafe(F.col("s"))).drop("s").where("w > 0")
     per = stored(per, "mix-sources")
     total, all_w = per.agg(F.sum("bytes"), F.sum("w")).first()  # two numbers
-    rate = F.least(F.round(F.lit(float(epochs) * float(total or 0)) * F.col("w") / F.lit(float(all_w or 1)) / F.col("bytes"), 9), F.lit(MOST_RATE))
-    last = F.ceil(F.lit(30) + F.col("rate") + 12 * F.sqrt("rate")).cast("int")
-    zero = F.struct(F.array(F.exp(-F.col("rate"))).alias("cdf"), (-F.col("rate")).alias("lp"))
-    step = lambda a, k: F.struct(F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + F.exp(a["lp"] + F.ln("rate") - F.ln(k)))).alias("cdf"), (a["lp"] + F.ln("rate") - F.ln(k)).alias("lp"))
+    rate = F.round(F.lit(float(epochs) * float(total or 0)) * F.col("w") / F.lit(float(all_w or 1)) / F.col("bytes"), 9)
+    parts, mean = F.ceil(F.col("rate") / F.lit(MOST_RATE)), F.col("rate") / F.col("parts")
+    last = F.ceil(F.lit(30) + F.col("mean") + 12 * F.sqrt("mean")).cast("int")
+    zero = F.struct(F.array(F.exp(-F.col("mean"))).alias("cdf"), (-F.col("mean")).alias("lp"))
+    step = lambda a, k: F.struct(F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + F.exp(a["lp"] + F.ln("mean") - F.ln(k)))).alias("cdf"), (a["lp"] + F.ln("mean") - F.ln(k)).alias("lp"))
     cdf = F.aggregate(F.sequence(F.lit(1), last), zero, lambda a, k: step(a, k.cast("double")), lambda a: a["cdf"])
-    return per.select("src", "bytes", rate.alias("rate")).where("rate > 0").withColumn("cdf", cdf)
+    return per.select("src", "bytes", rate.alias("rate")).where("rate > 0").withColumn("parts", parts).withColumn("mean", mean).withColumn("cdf", cdf).drop("mean")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -57,15 +61,29 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, temperature: float
     table = stored(rates(docs, source_col, text_col, weights, temperature, epochs), "mix-rates")
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     inner = docs.withColumn("__key", key)
-    if table.count() <= BROADCAST_SOURCES:
+    sources, high = table.agg(F.count("*"), F.coalesce(F.max("parts"), F.lit(1))).first()
+    if sources <= BROADCAST_SOURCES:
         inner = inner.join(F.broadcast(table), inner[source_col].eqNullSafe(table["src"]))
     else:
         spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         inner = inner.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
         inner = inner.join(spread, (inner["__salt"] == spread["__salt"]) & inner[source_col].eqNullSafe(spread["src"]))
     drawn = uniform(F.concat(F.lit(f"{seed}:"), F.col("__key")))
-    drawn = inner.select(*[docs[f"`{c}`"] for c in docs.columns], "__key", table["rate"].alias(rate), table["cdf"].alias("__cdf"), drawn.alias("__u"))
-    counted = drawn.withColumn(n_copies, F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__cdf", "__u").where(F.col(n_copies) > 0)
-    each = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
+    drawn = inner.select(*[docs[f"`{c}`"] for c in docs.columns], "__key", table["rate"].alias(rate), table["parts"].alias("__parts"), table["cdf"].alias("__cdf"), drawn.alias("__u"))
+    below = lambda u: F.size(F.filter("__cdf", lambda c: c <= u))
+    n = below(F.col("__u"))
+    if high > 1:
+        # A row holds one number for each part, a thousandth of the copies that it is repeated to.
+        part = lambda k: uniform(F.concat(F.lit(f"{seed}#"), k.cast("string"), F.lit(":"), F.col("__key")))
+        ordinals = F.when(F.col("__parts") > 1, F.sequence(F.lit(2).cast("long"), F.greatest("__parts", F.lit(2)))).otherwise(F.array().cast("array<bigint>"))
+        more = F.aggregate(F.transform(ordinals, part), F.lit(0).cast("long"), lambda a, u: a + below(u))
+        n = (n + more).cast("int")
+    counted = drawn.withColumn(n_copies, n).drop("__cdf", "__u", "__parts").where(F.col(n_copies) > 0)
+    if high > 1:
+        counted = counted.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col(n_copies) - 1) / BLOCK).cast("int"))))
+        first = F.col("__block") * BLOCK + 1
+        each = counted.withColumn(copy, F.explode(F.sequence(first, F.least(F.col(n_copies), first + (BLOCK - 1))))).drop("__block")
+    else:
+        each = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
     keyed = each.withColumn(mix_key, F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("__key"), F.lit("/"), F.col(copy).cast("string"))), 1, 16))
     return keyed.repartition(mix_key).sortWithinPartitions(mix_key).drop("__key")
