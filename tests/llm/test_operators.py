@@ -481,6 +481,26 @@ def test_siblings_and_depth():
     assert html_text.main_text("<div>" * 5000 + para + "</div>" * 5000).count("Some words") == 6
 
 
+@pytest.mark.parametrize("wrapper", ['class="layout right-sidebar"', 'id="page-with-sidebar"', 'class="has-header"', 'class="site comments-open" id=side', "class=widget-area"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_with_words_stay(wrapper, inner):
+    text = "Some words of a real sentence, as long as these go. " * 5
+    beside = '<div class="sidebar"><p>Beside the text.</p><a href=x>Link</a></div><div class="comments"><p>' + "A reader says much. " * 60 + "</p></div>"
+    article = f'<{inner} class=text><h1 class="entry-header">Title</h1><p>{text}</p><section class="related-work"><p>{text}</p></section><div class="share">Share this</div></{inner}>'
+    want = " ".join(f"Title {text} {text}".split())
+    for page in (f"<body><div {wrapper}>{article}{beside}</div></body>", f"<body><nav>a</nav><main><div {wrapper}><div>{article}</div></div></main>{beside}</body>", f"<body><div {wrapper}>{article}</div>{beside}</body>"):
+        assert html_text.main_text(page) == want
+
+
+def test_words_still_cut():
+    text = "<p>" + "Some words of a real sentence, as long as these go. " * 4 + "</p>"
+    for block in ('class="left-sidebar"', 'class="cookie-consent"', "id=comments", 'class="related posts"'):
+        long = f"<div {block}>{'<p>Other words that are not the article at all.</p>' * 30}</div>"
+        assert "Other" not in html_text.main_text(f"<body><article><h1>T</h1>{text}</article>{long}</body>")
+    replies = f'<div id=comments><ol class=comment-list><li class=comment><article class=comment-body>{"<p>Other words of a reader.</p>" * 90}</article></ol></div>'
+    assert "Other" not in html_text.main_text(f"<body><div class=post><h1>T</h1>{text}</div>{replies}</body>")
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("text", F.lit("mine"))
     for r in html_text.extract(pages).collect():

@@ -8,7 +8,10 @@ T tags, LC link characters and LT link tags, and the body's LCb and Cb, the comp
 (log as in ln x / ln base), which is low for link lists. A node's density sum is that of its children (a leaf's own
 density). The node with the largest sum below the body is the article; the smallest density on its path to the body is
 the threshold, and parts beside that path whose density reaches it belong to the article too. Elements that are
-boilerplate by their tag, role, visibility or the words of their class or id are never taken.
+boilerplate by their tag, role or visibility are never taken. The words of a class or id only make an element doubtful: it
+is not taken unless it wraps the page's text. The prose of a node is its text outside links, boilerplate and readers'
+comments; the core is the main or article element with most prose (half counts in doubtful elements), or else the body.
+Doubtful elements around the core, and those in it that hold most of its prose, are wrappers; so are headings in it.
 
 Defined results: null or empty html gives empty text; broken markup is closed where its parent ends; character
 references are decoded, white space within a block becomes one space, blocks are joined in page order by one space;
@@ -39,6 +42,11 @@ WORDS = {
     "sidebar", "side", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus",
     "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "widgets", "pagination", "pager", "toolbar", "copyright", "disclaimer",
 }
+#: Of these, what readers write: it may be longer than the article, and wraps it only together with the page's h1.
+READERS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
+#: Before a word, a state of the page (has-sidebar); after it, another sense (related-work).
+STATES, SENSES = {"no", "has", "have", "with", "without", "hide", "show"}, {"work", "works", "effect", "effects"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What never goes by the words of its class: they would take the whole page with them.
 FRAME = {"html", "body", "main", "article"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
@@ -54,16 +62,28 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "skip", "link", "chars", "tags", "link_chars", "links", "density", "sum")
+    __slots__ = ("tag", "parent", "kids", "skip", "words", "prose", "titled", "link", "chars", "tags", "link_chars", "links", "density", "sum")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool = False, link: bool = False):
         self.tag, self.parent, self.skip, self.link = tag, parent, skip, link
         self.kids: list[Node | tuple[str, bool]] = []
-        self.chars = self.tags = self.link_chars = self.links = 0
+        self.words: set[str] = set()
+        self.titled = tag == "h1"
+        self.chars = self.tags = self.link_chars = self.links = self.prose = 0
         self.density = self.sum = 0.0
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _doubts(value: str) -> set[str]:
+    """The words of a class or id that speak against the element."""
+    found = set()
+    for name in value.split():
+        parts = _WORD.findall(name)
+        found |= {w for k, w in enumerate(parts) if w in WORDS and STATES.isdisjoint(parts[:k]) and SENSES.isdisjoint(parts[k + 1 : k + 2])}
+    return found
+
+
+def _unwanted(tag: str, attrs: str, words: set[str]) -> bool:
+    """Whether the element goes whatever it holds; words takes those that make it doubtful."""
     if tag in BOILERPLATE:
         return True
     if not attrs or tag in ("html", "body"):
@@ -72,8 +92,10 @@ def _unwanted(tag: str, attrs: str) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value.strip() in ROLES or name in ("class", "id") and tag not in FRAME and not WORDS.isdisjoint(_WORD.findall(value)):
+        if name == "role" and value.strip() in ROLES:
             return True
+        if name in ("class", "id"):
+            words |= _doubts(value)
     return False
 
 
@@ -141,7 +163,8 @@ def tree(page: str) -> Node:
         if tag in VOID:
             stack[-1].kids.append(Node(tag, stack[-1]))
             continue
-        node = Node(tag, stack[-1], _unwanted(tag, m[3] or ""), tag == "a")
+        node = Node(tag, stack[-1], link=tag == "a")
+        node.skip = _unwanted(tag, m[3] or "", node.words)
         stack[-1].kids.append(node)
         if not (m[3] or "").rstrip().endswith("/") or tag in INLINE or tag in CLOSES_P:
             stack.append(node)
@@ -159,6 +182,37 @@ def _order(root: Node) -> list[Node]:
     return found
 
 
+def _settle(nodes: list[Node], body: Node) -> None:
+    """Skips the doubtful elements that are no wrappers, given the nodes (parents first) and their counts."""
+    if not any(x.words for x in nodes):
+        return
+    for x in reversed(nodes):
+        kids = [k for k in x.kids if isinstance(k, Node)]
+        x.titled = x.titled or any(k.titled for k in kids)
+        own = x.chars - x.link_chars - sum(k.chars - k.link_chars for k in kids)
+        x.prose = 0 if x.skip or not READERS.isdisjoint(x.words) and not x.titled else own + sum(k.prose for k in kids)
+    doubtful: set[int] = set()  # in these, or these
+    hidden: set[int] = set()
+    core, most = body, 0.0
+    for x in nodes:
+        if x.skip or id(x.parent) in hidden:
+            hidden.add(id(x))
+        if x.words or id(x.parent) in doubtful:
+            doubtful.add(id(x))
+        if x.tag in ("main", "article") and id(x) not in hidden and x.prose / (1 + (id(x) in doubtful)) > most:
+            core, most = x, x.prose / (1 + (id(x) in doubtful))
+    around, x = set(), core
+    while x is not None:
+        around.add(id(x))
+        x = x.parent
+    inside: set[int] = set()
+    for x in nodes:
+        if x is core or id(x.parent) in inside:
+            inside.add(id(x))
+        if x.words and x.tag not in FRAME and id(x) not in around:
+            x.skip = x.skip or not (id(x) in inside and (2 * x.prose > core.prose or x.tag in HEADINGS))
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -176,6 +230,7 @@ def main_text(page: str | None) -> str:
                 x.chars += c
                 x.link_chars += c * k[1]
     body = next((x for x in nodes if x.tag == "body"), root)
+    _settle(nodes, body)
     part = body.link_chars / max(body.chars, 1)
     for x in reversed(nodes):
         if x.chars:
