@@ -168,3 +168,9 @@ def test_shortest_paths_of_all_sources(spark, sf, tables):
     for name in ("shortest_paths_all", "shortest_paths_iterative_all"):
         got = {(r.src, r.dst): r.length_m for r in queries.QUERIES[name](spark, sf).where("length_m is not null").collect()}
         assert got == pytest.approx({p: w for p, w in want.items() if w < float("inf")}, abs=1e-5) and len(nodes) == 144
+
+
+def test_larger_networks_are_refused_plainly(tables):
+    with pytest.raises(ValueError, match="limited") as e:
+        network.collected(tables[0], most=10)
+    assert "operators.lattice" not in str(e.value)

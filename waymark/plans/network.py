@@ -82,6 +82,6 @@ def collected(expanded: DataFrame, most: int = BROADCAST_VERTICES) -> dict[int,
     """segment id -> (start, end, dual, length, [(lng, lat)]), for broadcasting; ValueError above the bound."""
     size = expanded.agg(F.sum(F.size("points"))).first()[0] or 0
     if size > most:
-        raise ValueError(f"the network has {size} vertices, {most} may be broadcast; use shortest_path.iterative and operators.lattice")
+        raise ValueError(f"the network has {size} vertices, {most} may be broadcast: matching, routes and recovery are limited to that; shortest_path.iterative has lengths between nodes of larger ones")
     rows = expanded.select("segment_id", "start_id", "end_id", (F.col("direction") == DUAL).alias("dual"), "length_m", F.col("points.lng").alias("x"), F.col("points.lat").alias("y")).collect()
     return {r["segment_id"]: (r["start_id"], r["end_id"], r["dual"], r["length_m"], list(zip(r["x"], r["y"]))) for r in rows}
