@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -34,13 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="waymark-")
         shared_dir.own = base
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/waymark/{label}-{uuid.uuid4().hex}"
+    """A new folder's name below that of the application, which goes when the driver's process ends."""
+    own = f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}"
+    if own not in _tidied:
+        _tidied.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+_tidied: set[str] = set()
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped
+        _remove(spark, path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -92,8 +109,8 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def purge(spark: SparkSession) -> None:
-    """Removes all scratch tables of the shared folder; call when no result that reads them is needed."""
-    _remove(spark, f"{shared_dir(spark)}/waymark")
+    """Removes all scratch tables of the application; call when no result that reads them is needed."""
+    _remove(spark, f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}")
     _made.clear()
 
 
@@ -105,9 +122,9 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., and the new name of each: inside an operator no name clashes or needs quotes."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), {c: f"c{k}" for k, c in enumerate(df.columns)}
 
 
 def crc_part(doc_id: Column, modulus: int) -> Column:

@@ -1,8 +1,9 @@
 """Connected components of an edge table, by repeated contraction.
 
-Every node points at the smallest of itself and its neighbours; edges are then renamed by their ends' pointers, and
-loops and repeats go. A round merges every node with a neighbour, so edges shrink by a large factor; each round is two
-narrow joins, written to the shared folder. Pointers of the rounds are composed backwards at the end. Nothing is collected.
+In each round every node points at the first of itself and its neighbours, in an order that a hash of the round deals
+anew, so that chains of any order shrink as fast as random ones do (to about a third). Edges are then renamed by their
+ends' pointers, and loops and repeats go. A round is two narrow joins, written to the shared folder. Pointers of the rounds
+are composed backwards at the end. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import stored
+from waymark.llm.common import drop, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,16 +20,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph-edges")
     pointers: list[DataFrame] = []
     while not now.isEmpty():
+        place = lambda x: F.struct(F.xxhash64(F.lit(len(pointers)), x).alias("h"), F.col(x).alias("id"))  # noqa: E731, B023
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        p = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("to")), "graph-pointers")
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first"))
+        p = stored(first.select("node", F.least("first", place("node"))["id"].alias("to")), "graph-pointers")
         pointers.append(p)
         left = now.join(p.select(F.col("node").alias("a"), F.col("to").alias("pa")), "a").select("b", "pa")
         ends = left.join(p.select(F.col("node").alias("b"), F.col("to").alias("pb")), "b").where("pa <> pb")
-        now = stored(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "graph-edges")
+        before, now = now, stored(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "graph-edges")
+        drop(before)
     if not pointers:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labels = pointers[-1].select("node", F.col("to").alias("root"))
+    labels = pointers[-1]
     for p in reversed(pointers[:-1]):
-        later = labels.select(F.col("node").alias("to"), "root")
-        labels = stored(p.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "graph-labels")
-    return labels
+        later = labels.select(F.col("node").alias("to"), F.col(labels.columns[1]).alias("root"))
+        before, labels = labels, stored(p.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "graph-labels")
+        drop(p, before)
+    return labels.toDF("node", "root")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.llm import bpe, embedding_dedup, html_text, langid, ngram_join, toxicity, warc
 from waymark.llm.common import LOWER, UPPER, crc_part, read, scratch
 from waymark.llm.exact_dedup import annotate
-from waymark.llm.mixing import EPOCHS, MOST_RATE, SEED, TEMPERATURE, mix
+from waymark.llm.mixing import EPOCHS, MOST_RATE, RATE_DIGITS, SEED, TEMPERATURE, mix
 from waymark.llm.sharding import write_shards
 
 
@@ -18,14 +18,17 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source AS src, CAST(sum(octet_length(encode(t)) + 1) AS BIGINT) AS bytes FROM d GROUP BY source),
 w AS (SELECT *, pow(CAST(bytes AS DOUBLE), {TEMPERATURE}e0) AS w FROM s),
-r AS (SELECT src, least(round({EPOCHS}e0 * CAST((SELECT sum(bytes) FROM s) AS DOUBLE) * w / (SELECT sum(w) FROM w) / bytes, 9), {MOST_RATE}e0) AS rate FROM w),
-k AS (SELECT src, rate, CAST(k AS INTEGER) AS k FROM r, range(0, 1500) AS g(k) WHERE k <= 30 + rate + 12 * sqrt(rate)),
-c AS (SELECT src, rate, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS cdf FROM k),
-u AS (SELECT doc_id, source, md5(t) AS text_md5, CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(t))), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496e0 AS u, coalesce(CAST(doc_id AS VARCHAR), md5(t)) AS key FROM d),
-n AS (SELECT u.doc_id, u.source, u.text_md5, u.key, c.rate, count(*) FILTER (WHERE c.cdf <= u.u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.src GROUP BY ALL)
+e AS (SELECT src, CAST(printf('%.{RATE_DIGITS - 1}e', {EPOCHS}e0 * CAST((SELECT sum(bytes) FROM s) AS DOUBLE) * w / (SELECT sum(w) FROM w) / bytes) AS DOUBLE) AS rate FROM w),
+r AS (SELECT src, rate, CAST(ceil(rate / {MOST_RATE}e0) AS BIGINT) AS parts, rate / ceil(rate / {MOST_RATE}e0) AS mean FROM e),
+k AS (SELECT src, mean, CAST(k AS INTEGER) AS k FROM r, range(0, 1500) AS g(k) WHERE k <= 30 + mean + 12 * sqrt(mean)),
+c AS (SELECT src, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS cdf FROM k),
+p AS (SELECT d.doc_id, d.source, d.key, md5(d.t) AS text_md5, r.rate, unnest(range(1, r.parts + 1)) AS part FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.src),
+u AS (SELECT *, CAST(CAST('0x' || substr(md5(CASE WHEN part = 1 THEN '{SEED}:' ELSE '{SEED}#' || CAST(part AS VARCHAR) || ':' END || key), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496e0 AS u FROM p),
+m AS (SELECT u.doc_id, u.source, u.text_md5, u.key, u.rate, u.part, count(*) FILTER (WHERE c.cdf <= u.u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.src GROUP BY ALL),
+n AS (SELECT doc_id, source, text_md5, key, rate, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL)
 SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, CAST(n AS INTEGER) AS n_copies, round(rate, 6) AS rate, substr(md5('{SEED}/' || key || '/' || CAST(copy AS VARCHAR)), 1, 16) AS mix_key, text_md5
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)
 """
