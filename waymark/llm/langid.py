@@ -1,15 +1,16 @@
 """Language identification by compression: the per-language zstandard dictionary that makes a text smallest wins.
 
-Fit: of the labelled training rows a bounded sample (SAMPLE_DOCS per language, chosen by a seeded hash; the first
-SAMPLE_CHARS characters of each) is dealt to DICTS raw-content dictionaries of DICT_BYTES per language. Languages are
-assumed to be few (MOST_LANGS), as the model goes to every task.
+Fit: whole training texts are cut to pieces of PIECE_CHARS characters; of each language's distinct pieces the PIECES with
+the least seeded hashes are dealt to DICTS raw-content dictionaries. That sample is bounded by language, and what it is drawn
+from is every piece of every row. All languages are learned; the model, some 130 KB a language, goes to every task.
 
 Predict: the whole text, lower-cased and with everything but letters made one space, is cut into segments of SEGMENT
 characters; each is a frame of its own against each dictionary, and a language's sizes add up, so long texts don't become their own dictionary. The score is a logistic function
 of the relative margin between the two smallest sizes; `rejected` marks margins under MIN_MARGIN.
 
 Defined results: null text or text without a letter is `und` with score 0; ties go to the language that sorts first;
-without training rows all is `und`; an empty table gives an empty table; other columns pass through.
+without training rows all is `und`; rows that repeat are predicted each,
+and learned once; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.common import free_name, small_batches
 
-SAMPLE_DOCS, SAMPLE_CHARS, DICTS, DICT_BYTES, MOST_LANGS = 400, 1200, 2, 60_000, 500
+PIECES, PIECE_CHARS, DICTS = 400, 300, 2
 SEGMENT, LEVEL, MIN_MATCH, MIN_MARGIN, STEEPNESS = 1500, 6, 3, 0.01, 60.0
 _LETTER, _REST = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -37,19 +38,20 @@ def letters(text: str) -> str:
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 5) -> dict[str, list[bytes]]:
     """Language -> dictionaries, from rows that may be learned from; null languages and texts are passed over."""
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MOST_LANGS).collect()}
+    # Pieces end at their length or the text's; the expression is linear in the text.
+    each = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))).alias("piece")).withColumn("h", F.xxhash64(F.lit(seed), "piece"))
+    sizes = {r["lang"]: r["n"] for r in each.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row a language
     if not sizes:
         return {}
-    # Twice the wanted share by hash, so that enough remain; the exact number is cut from these few.
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * SAMPLE_DOCS / n))])
-    h = F.xxhash64(F.lit(seed), "text")
-    u = F.pmod(h, F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = rows.where(u < F.element_at(share, F.col("lang"))).select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    found: dict[str, dict[int, str]] = {}
-    for r in drawn.distinct().limit(4 * SAMPLE_DOCS * len(sizes)).collect():
-        found.setdefault(r["lang"], {})[r["h"]] = r["text"]
-    chosen = {lang: [letters(t[h]) for h in sorted(t)[:SAMPLE_DOCS]] for lang, t in sorted(found.items())}
-    return {lang: ["\n".join(t[k::DICTS]).encode()[:DICT_BYTES] for k in range(DICTS)] for lang, t in chosen.items()}
+    # A little more than the wanted share by hash; the exact number is cut from these few.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.5 * PIECES / n))])
+    u = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = each.where(u < F.element_at(share, F.col("lang"))).distinct()
+    least = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= PIECES)
+    found: dict[str, list[str]] = {}
+    for r in least.orderBy("lang", "k").collect():
+        found.setdefault(r["lang"], []).append(letters(r["piece"]))
+    return {lang: ["\n".join(t[k::DICTS]).encode() for k in range(DICTS)] for lang, t in found.items()}
 
 
 class Classifier:
