@@ -449,6 +449,83 @@ def test_learned_words_and_stems(spark):
     assert toxicity.fit(docs, lab.limit(0)).stems == toxicity.Model().stems
 
 
+def slow_features(model, text):
+    """The grammar by positions, without machines: every clause, every word."""
+    total = dict.fromkeys(toxicity.KINDS, 0.0)
+    stems = {x for x in model.stems if not x.endswith("$")}
+    for clause in re.split(r"[.!?;:,\n]+", (text or "").lower()):
+        w = re.findall(r"[\w']+|[\"«»“”„]", clause)
+        used = -1  # the end of the last threat: what stood before it opens no other
+        for k, x in enumerate(w):
+            own = model.stems.get(f"{x}$") or max(((len(s), model.stems[s]) for s in stems if x.startswith(s)), default=(0, 0.0))[1]
+            if any(a in toxicity.INTENT and x in toxicity.HARM or (a, x) in model.pairs for a in w[max(used + 1, k - toxicity.REACH) : k]):
+                total["threat"] += 2.0 + own  # an insult that ends a threat weighs in it
+                used = k
+                continue
+            if not own:
+                continue
+            near = lambda words, n, k=k: any(y in words for y in w[max(0, k - n + 1) : k + 1])
+            if near(model.negations, toxicity.SCOPE):
+                kind = "negated"
+            elif near(model.reports | toxicity.QUOTES, len(w)):
+                kind = "reported"
+            else:
+                kind = "targeted" if near(toxicity.TARGET, 6) or len(w) <= 8 and any(y in toxicity.TARGET for y in w) else "plain"
+            total[kind] += own
+    return np.log1p(np.array([total[k] for k in toxicity.KINDS]) / toxicity.UNIT)
+
+
+def test_grammar_equals_positions():
+    rng = random.Random(12)
+    model = toxicity.Model(pairs=frozenset({("grib", "zant"), ("grib", "idiot")}), negations=frozenset({"not", "nix"}), reports=frozenset({"said", "quax"}))
+    model.stems = model.stems | {"smeg": 3.0, "smegm": 4.0}
+    bag = ["you", "idiot", "smegma", "smegs", "not", "nix", "said", "quax", "will", "kill", "grib", "zant", "scum", "a", "b", "c", "d", "they", '"', ".", ",", "\n"]
+    scorer = toxicity.Scorer(model)
+    for k in range(600):
+        text = " ".join(rng.choice(bag if k % 3 else bag[:14]) for _ in range(rng.randrange(0, 40)))
+        assert scorer.features(text) == pytest.approx(slow_features(model, text)), text
+
+
+@pytest.fixture(scope="module")
+def contexts(spark):
+    """Labelled documents whose labels hang on context: a negated or reported insult is clean, a pair of words is toxic."""
+    rng = random.Random(10)
+    rows = []
+    for k in range(4800):
+        t, kind = words(rng, 30, 2000).split(), k % 24
+        own = {0: "zorg", 1: "zorg", 2: "nixo zorg", 3: "quab {w} {w} {w} zorg", 4: "grib {w} zant", 5: "zant {w} grib", 6: "zorg", 7: "zorg"}.get(kind, "{w} {w}")
+        own = re.sub(r"\{w\}", lambda _: f"w{rng.randrange(2000)}", own)
+        rows.append((k, " ".join([*t[:15], ".", own, ".", *t[15:], "grib", ".", "zant"]), int(kind in (0, 1, 4, 6, 7)), kind))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int, kind int").repartition(4).cache()
+
+
+def test_threat_negation_and_report_are_learned_and_decide(contexts):
+    model = toxicity.fit(contexts.select("doc_id", "text"), toxicity.training_labels(contexts.select("doc_id", "toxic")))
+    assert "nixo" in model.negations and "quab" in model.reports and ("grib", "zant") in model.pairs and ("zant", "grib") not in model.pairs
+    held = [r for r in toxicity.score(contexts, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    right = lambda kinds: np.mean([r.predicted == r.toxic for r in held if r.kind in kinds])
+    assert right({0, 1, 6, 7}) == 1 and right({4}) > 0.95 and right({2, 3}) > 0.95 and right({5, *range(8, 24)}) == 1
+    # Without what was learned of contexts the same documents are decided otherwise.
+    bare = toxicity.Model(model.stems, model.weights, model.bias)
+    assert np.mean([toxicity.Scorer(bare).score(r.text) >= toxicity.CUT for r in held if r.kind in (2, 3)]) > 0.9
+    assert np.mean([toxicity.Scorer(bare).score(r.text) >= toxicity.CUT for r in held if r.kind == 4]) < 0.1
+
+
+def test_toxicity_fit_is_repeatable_and_reads_whole_texts(spark):
+    rng = random.Random(11)
+    rows = [(k, words(rng, 2000, 5000) + (" zorg" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(300)]  # behind some 9,000 characters
+    df = spark.createDataFrame([*rows, (0, "zzz", 1), (7, None, 0)], "doc_id long, text string, toxic int")
+    one, two = (toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic")) for d in (df.repartition(3), df.repartition(7).orderBy(F.desc("doc_id"))))
+    assert "zorg$" in one.stems and one.stems == two.stems and one.bias == two.bias and (one.weights == two.weights).all()
+
+
+def test_toxicity_edges(spark, docs, none):
+    model = toxicity.Model()
+    assert toxicity.score(none, model).count() == 0
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == docs.count() and len({r.score for r in got if not (r.text or "").strip()}) == 1
+
+
 def test_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
@@ -522,6 +599,37 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_predictions_equal_brute_force(spark):
+    """Every segment against every dictionary with compressors made anew, over the registered query's rows."""
+    import zstandard
+
+    d = "/root/testdata/sf0.001"
+    whole = spark.read.parquet(f"{d}/documents.parquet")
+    train = whole.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
+    model = langid.fit(train)
+    text = {r.doc_id: r.text for r in whole.collect()}
+
+    def size(t, raw):
+        how = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.SEGMENT, dict_size=len(raw), min_match=langid.MIN_MATCH, write_content_size=0, write_dict_id=0)
+        return sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(t[k : k + langid.SEGMENT].encode())) for k in range(0, len(t), langid.SEGMENT))
+
+    for r in sorted(queries.op10_language(spark, d).collect())[::5]:
+        t = re.sub(r"[\W\d_]+", " ", (text[r.doc_id] or "").lower()).strip()
+        sizes = {lang: np.mean([size(langid.letters(text[r.doc_id]), raw) for raw in raws]) for lang, raws in model.items()} if t else {}
+        assert r.lang_pred == (min(sizes, key=lambda x: (sizes[x], x)) if sizes else "und")
+
+
+def test_all_languages_and_whole_texts_are_learned(spark):
+    rng = random.Random(4)
+    own = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(520)}
+    # What tells the languages apart comes after 2,000 characters of something that all share.
+    rows = [(lang, "same words in all of them " * 80 + " ".join(rng.choice(w) for _ in range(60))) for lang, w in own.items()]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model) == 520
+    few = langid.Classifier({x: model[x] for x in list(model)[::40]})
+    assert all(few.predict(" ".join(rng.choice(own[x]) for _ in range(40)))[0] == x for x in few.langs)
+
+
 def test_language_edges(spark, docs, none):
     assert langid.fit(none) == {}
     model = langid.fit(spark.createDataFrame([("the cat sat on the mat and the dog", "en"), ("der hund und die katze sind hier", "de"), (None, "en"), ("x", None)], "text string, lang string"))
