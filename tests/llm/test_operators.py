@@ -337,38 +337,62 @@ HARD = [
 ]
 
 
-@pytest.mark.parametrize("window", [150, 300, 1000])
-def test_transducer_equals_library(library, window):
-    rng = random.Random(window)
-    t = bpe.Transducer(queries.tokenizer_file(), window)
-    texts = [*HARD, *("".join(rng.choice("ab 'sé\n!?<|>日😀\t0") for _ in range(2500)) for _ in range(4)), words(rng, 3000)]
+@pytest.mark.parametrize("chunk", [30, 150, 1000, bpe.CHUNK])
+def test_transducer_equals_library(library, chunk):
+    rng = random.Random(chunk)
+    t = bpe.Transducer(queries.tokenizer_file(), chunk)
+    texts = [*HARD, *("".join(rng.choice("ab 'sé\n!?<|>日😀\t0") for _ in range(2500)) for _ in range(4)), words(rng, 3000), "x" * 70_000, " " * 70_000 + "y", ("ab" * 20_000) + "<|endoftext|>" + "  " * 9000 + "<|endoftext"]
     for x in texts:
         want = library.encode(x, add_special_tokens=False).ids
         parts = [x[k : k + 37] for k in range(0, len(x), 37)]
         for fed in ([x], parts):
-            assert [i for p in t.encode(fed) for i in p] == want
+            assert [i for p in t.encode(fed) for i in p.tolist()] == want
         assert "".join(t.decode([[i] for i in want])) == library.decode(want, skip_special_tokens=False)
     for _ in range(20):  # ids whose bytes are no text
         ids = [rng.randrange(50257) for _ in range(60)]
         assert "".join(t.decode([ids[k : k + 7] for k in range(0, 60, 7)])) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_memory_is_a_window(library):
+def test_every_character_is_of_the_librarys_kind(library):
+    t = bpe.Transducer(queries.tokenizer_file())
+    for low in range(0, 0x110000, 1 << 11):
+        chars = [chr(c) for c in range(low, low + (1 << 11)) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}1{c}!{c}  " for c in chars)
+        assert [i for p in t.encode([text]) for i in p.tolist()] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_is_a_chunk():
+    """Also within one piece that goes on and on: what is emitted at once, and what is held, don't grow."""
     t = bpe.Transducer(queries.tokenizer_file(), 400)
-    longest = max(len(p) for p in t.encode([("ab" * 50_000) + " " + "word " * 20_000]))
-    assert longest <= 450
+    rng = random.Random(1)
+    stream, most, held = bpe.Stream(t), 0, 0
+    for k in range(600):
+        most = max(most, len(stream.feed("".join(rng.choice("abcde") for _ in range(400)) if k < 300 else "word " * 80)) // 4)
+        held = max(held, len(stream.held) + (len(stream.long.data) if stream.long else 0))
+    assert 0 < most <= 1000 and held <= 1200
+
+
+def test_a_piece_is_the_same_by_merges_and_by_prefixes():
+    merges = bpe.Transducer(queries.tokenizer_file()).merges
+    rng = random.Random(2)
+    for k in range(400):
+        raw = "".join(rng.choice(["a", "the", "ing", "é", "aa", " ", "日", "qz"]) for _ in range(rng.randrange(1, 12))).encode()
+        piece = bpe.Piece(merges)
+        piece.STEP = 1 + k % 5
+        assert piece.feed(raw) + piece.end() == merges.whole(raw)
 
 
 def test_encoding_tables(docs, none, library):
     path = queries.tokenizer_file()
-    encoded = bpe.decode(bpe.encode(docs, path, window=500), path).collect()
+    given = docs.withColumn("ids", F.lit("mine")).withColumn("n_tokens", F.lit(1)).withColumn("a.b", F.lit(2))
+    encoded = bpe.decode(bpe.encode(docs, path, chunk=500), path).collect()
     for r in encoded:
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
-    for r in bpe.encode_checked(docs, path).collect():
-        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
-    for r in bpe.round_trip(docs, path, window=500).collect():
+    for r in bpe.encode_checked(given, path).collect():
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() and r.ids == "mine" and r["a.b"] == 2 and len(r.ids_) == len(library.encode(r.text or "", add_special_tokens=False).ids)
+    for r in bpe.round_trip(given, path, chunk=500).collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
-        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
+        assert (r.n_tokens_, r.ids_sha256) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert bpe.round_trip(none, path).count() == 0 and bpe.encode(none, path).count() == 0
 

@@ -1,23 +1,21 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its inverse as a byte-to-text state machine.
 
-Encoding feeds a text in windows. Tokens are emitted once no later byte can change them; only the unstable tail is kept,
-so memory is a window however long the text is. Where the tail begins:
-
-* between words: an ASCII letter, a space and a letter always part two pre-tokens, and the rule needs one character of
-  lookahead. Failing such a place, the pre-tokenizer's own pieces are used, less the last two and the length of a
-  special token.
-* inside a pre-token longer than a window: the merge list's sufficient lookahead. No token is longer than LOOKAHEAD
-  bytes (computed from the vocabulary), so every encoding of a longer text has a boundary among the last LOOKAHEAD byte
-  places of the window, and up to that boundary it is the encoding of that prefix. What the encodings of all these
-  prefixes share is stable and is emitted.
-
-Both follow from BPE being local: parts of an encoding that begin and end at token boundaries are the encodings of their
-texts. Merges within a window are done by the tokenizers library.
+Every text is fed in chunks, whatever its length, and tokens are emitted once no later character can change them; what is
+held is a chunk and a tail. Two levels decide:
+
+* Pre-tokens: a piece that ends LOOK characters or more before the end of what is held is final, as the pattern looks at
+  most two characters ahead; the length of a special token is added, as one may have begun. A final piece is merged by the
+  file's merge list (kept for pieces that come again).
+* Within a piece that outgrows a chunk: the merge list's sufficient lookahead. Each prefix of a text has one last token,
+  and a token is it if it goes with the last token of the prefix before it, which is decided by the merges of the two
+  alone. So prefixes form a tree by their last tokens. No token is longer than `lookahead` bytes (computed from the
+  vocabulary): every longer text has a token boundary among the last `lookahead` places, so what their paths in the tree
+  share is stable and is emitted.
 
 Decoding maps each id to its bytes and runs an incremental UTF-8 decoder, which holds at most three bytes.
 
 Defined results: null text is empty and has no tokens; the special token's string in a text is the special token, as in
-the library; an empty table gives an empty table; other columns pass through.
+the library; rows that repeat are encoded each; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,19 +23,24 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from waymark.llm.common import free_name, small_batches
+from waymark.llm.common import add_columns
 
-WINDOW = 1 << 16
-_WORD_BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Characters fed at once; pieces kept with their ids, and the longest kept in bytes.
+CHUNK, KEPT, KEPT_BYTES = 1 << 14, 1 << 17, 64
+#: Characters after a piece that make it final.
+LOOK = 3
+# The byte-level pre-tokenizer's pattern, and a character that each kind of piece goes on after.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+KINDS = ((regex.compile(r"\p{L}"), "a"), (regex.compile(r"\p{N}"), "0"), (regex.compile(r"\s"), "\n"), (regex.compile(r"."), "!"))
+_NONE = 1 << 62
 
 
 def byte_chars() -> dict[str, int]:
@@ -47,96 +50,215 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Merges:
+    """The merge list of a tokenizer file: tokens of whole pieces, and whether two tokens go together."""
+
+    def __init__(self, spec: dict):
+        chars, vocab = byte_chars(), spec["model"]["vocab"]
+        self.bytes_of = [b""] * (max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]) + 1)
+        for w, i in vocab.items():
+            self.bytes_of[i] = bytes(chars[c] for c in w)
+        self.byte_id = [0] * 256
+        for c, b in chars.items():
+            self.byte_id[b] = vocab[c]
+        self.shift = len(self.bytes_of).bit_length()
+        #: (left, right) as a number -> rank and merged id as a number
+        self.ranks = {}
+        for rank, pair in enumerate(spec["model"]["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            self.ranks[vocab[a] << self.shift | vocab[b]] = rank << self.shift | vocab[a + b]
+        for a in spec["added_tokens"]:
+            self.bytes_of[a["id"]] = a["content"].encode()
+        #: No token of the vocabulary has more bytes.
+        self.lookahead = max(len(self.bytes_of[i]) for i in vocab.values())
+        #: Tokens by their bytes from the last to the first; the key None holds the id.
+        self.ends: dict = {}
+        for w, i in vocab.items():
+            at = self.ends
+            for b in reversed(self.bytes_of[i]):
+                at = at.setdefault(b, {})
+            at[None] = i
+        self.fits: dict[int, bool] = {}
+
+    def whole(self, raw: bytes) -> list[int]:
+        """The tokens of a short piece: the merge of the lowest rank, the leftmost of equals, until there is none."""
+        ids, shift = [self.byte_id[b] for b in raw], self.shift
+        known, mask = self.ranks.get, (1 << shift) - 1
+        found = [known(a << shift | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (least := min(found)) != _NONE:
+            k = found.index(least)
+            ids[k : k + 2] = [least & mask]
+            del found[k]
+            if k:
+                found[k - 1] = known(ids[k - 1] << shift | ids[k], _NONE)
+            if k < len(found):
+                found[k] = known(ids[k] << shift | ids[k + 1], _NONE)
+        return ids
+
+    def fit(self, left: int, right: int) -> bool:
+        """Whether the tokens are what their bytes together are merged to."""
+        key = left << self.shift | right
+        if key not in self.fits:
+            if len(self.fits) >= KEPT:
+                self.fits.clear()
+            self.fits[key] = self.whole(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        return self.fits[key]
+
+
+class Piece:
+    """A piece of any length, byte by byte; holds what is not stable yet."""
+
+    STEP = 2048
+
+    def __init__(self, merges: Merges):
+        self.m, self.data, self.last = merges, bytearray(), -1
+        #: For each length of a prefix of data: its last token, and where that begins.
+        self.token, self.begin = [-1], [0]
+
+    def _grow(self, raw: bytes) -> None:
+        data, token, begin, fit = self.data, self.token, self.begin, self.m.fit
+        for b in raw:
+            data.append(b)
+            at, q = self.m.ends, len(data)
+            while q and (at := at.get(data[q - 1])):
+                q -= 1
+                i = at.get(None)
+                if i is not None:
+                    before = token[q] if q else self.last
+                    if fit(before, i) if before >= 0 else self.m.whole(self.m.bytes_of[i]) == [i]:
+                        token.append(i)
+                        begin.append(q)
+                        break
+            else:
+                raise ValueError("no token ends here")
+
+    def _path(self, end: int) -> list[int]:
+        ids = []
+        while end:
+            ids.append(self.token[end])
+            end = self.begin[end]
+        return ids[::-1]
+
+    def feed(self, raw: bytes) -> list[int]:
+        """The tokens that became stable."""
+        out: list[int] = []
+        for k in range(0, len(raw), self.STEP):
+            self._grow(raw[k : k + self.STEP])
+            n = len(self.data)
+            ends = set(range(max(0, n - self.m.lookahead + 1), n + 1))
+            while len(ends) > 1:
+                far = max(ends)
+                ends.remove(far)
+                ends.add(self.begin[far])
+            stable = ends.pop()
+            if stable:
+                out += self._path(stable)
+                self.last = out[-1]
+                del self.data[:stable]
+                self.token = [-1, *self.token[stable + 1 :]]
+                self.begin = [0, *(x - stable for x in self.begin[stable + 1 :])]
+        return out
+
+    def end(self) -> list[int]:
+        return self._path(len(self.data))
+
+
+class _Kept(dict):
+    """Ids of pieces, as bytes."""
+
+    def __init__(self, merges: Merges):
+        self.m = merges
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece.encode()
+        if len(raw) > KEPT_BYTES:
+            long = Piece(self.m)
+            return packed(long.feed(raw) + long.end())
+        if len(self) >= KEPT:
+            self.clear()
+        ids = self[piece] = packed(self.m.whole(raw))
+        return ids
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+class Stream:
+    """One text: feed() gives the ids that became final, end() the rest; ids are little-endian 32-bit numbers."""
+
+    def __init__(self, t: Transducer):
+        self.t, self.held, self.lead, self.long = t, "", "", None
+
+    def _emit(self, pieces: list[str]) -> bytes:
+        """Of final pieces; the first may end a long one."""
+        if not pieces:
+            return b""
+        done = b""
+        if self.long is not None:
+            done = packed(self.long.feed(pieces[0][1:].encode()) + self.long.end())
+            self.lead, self.long, pieces = "", None, pieces[1:]
+        return done + b"".join([self.t.kept[p] for p in pieces])
+
+    def _close(self, text: str) -> bytes:
+        """All of a text that nothing follows, or a special token."""
+        return self._emit(PIECE.findall(self.lead + text))
+
+    def feed(self, chunk: str) -> bytes:
+        held, out = self.held + chunk, []
+        if self.t.special:
+            while found := self.t.special.search(held):
+                out += [self._close(held[: found.start()]), packed([self.t.special_id[found[0]]])]
+                held = held[found.end() :]
+        pieces, open_ = PIECE.findall(self.lead + held), 0
+        while pieces and open_ < self.t.look:
+            open_ += len(pieces.pop())
+        if pieces:
+            out.append(self._emit(pieces))
+            held = held[len(held) - open_ :]
+        elif len(held) > self.t.chunk:
+            # One piece covers all but the tail: what of it is sure goes on byte by byte.
+            sure, held = held[: len(held) - self.t.look], held[len(held) - self.t.look :]
+            if self.long is None:
+                self.long, self.lead = Piece(self.t.merges), next(c for kind, c in KINDS if kind.match(sure[1]) or c == "!")
+            out.append(packed(self.long.feed(sure.encode())))
+        self.held = held
+        return b"".join(out)
+
+    def end(self) -> bytes:
+        out, self.held = self._close(self.held), ""
+        return out
+
+
 class Transducer:
     """Encoder and decoder of one tokenizer file (byte-level BPE)."""
 
-    def __init__(self, path: str, window: int = WINDOW):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+    def __init__(self, path: str, chunk: int = CHUNK):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        chars = byte_chars()
-        self.chars = {b: c for c, b in chars.items()}
-        words = spec["model"]["vocab"] | {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.special = [a["content"] for a in spec["added_tokens"]]
-        self.bytes_of = [b""] * (max(words.values()) + 1)
-        for w, i in words.items():
-            self.bytes_of[i] = bytes(chars[c] for c in w)
-        self.window = window
-        #: Bytes; a window's last so many places hold a token boundary of any longer text.
-        self.lookahead = max(map(len, self.bytes_of))
-
-    def encode_short(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, chunks: Iterable[str]) -> Iterator[list[int]]:
-        """Lists of ids, as they become stable, of the text that the chunks make up."""
-        held = ""
+        self.merges, self.chunk = Merges(spec), chunk
+        self.kept = _Kept(self.merges)
+        self.special_id = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        longest = max(map(len, self.special_id), default=1)
+        self.special = re.compile("|".join(map(re.escape, sorted(self.special_id, key=len, reverse=True)))) if self.special_id else None
+        self.look = LOOK + longest - 1
+
+    def encode(self, chunks: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids, as they become final, of the text that the chunks make up."""
+        stream = Stream(self)
         for chunk in chunks:
-            for at in range(0, len(chunk), self.window):
-                held += chunk[at : at + self.window]
-                while len(held) > self.window:
-                    ids, cut = self._between_words(held)
-                    ids, cut = (ids, cut) if cut else self._inside_word(held)
-                    if not cut:
-                        break  # not stable yet: a longer window decides
-                    yield ids
-                    held = held[cut:]
-        if held:
-            yield self.encode_short([held])[0]
-
-    def _between_words(self, held: str) -> tuple[list[int], int]:
-        """Ids up to the last place found where pre-tokens part whatever follows, and the place; 0 if none."""
-        end = len(held) - max([1, *map(len, self.special)])
-        cut = 0
-        for at in range(max(0, end - 4096), -1, -4096):
-            for m in _WORD_BREAK.finditer(held, at, end):
-                cut = m.start()
-            if cut:
-                return self.encode_short([held[:cut]])[0], cut
-        cut = max([0, *(k + len(s) for s in self.special if (k := held.rfind(s)) >= 0)])
-        if cut:
-            return self.encode_short([held[:cut]])[0], cut
-        # Pieces one by one: white space at the end of a text would be split otherwise than before a word.
-        pieces = [(p, e) for p, (_, e) in self.tok.pre_tokenizer.pre_tokenize_str(held)[:-2] if e <= end]
-        return [t.id for p, _ in pieces for t in self.tok.model.tokenize(p)], pieces[-1][1] if pieces else 0
-
-    def _inside_word(self, held: str) -> tuple[list[int], int]:
-        """Stable ids of the long pre-token that held begins with, and the characters they cover."""
-        part = held[: self.window]
-        raw = part.encode()
-        word = "".join(self.chars[b] for b in raw)
-        if len(raw) <= 2 * self.lookahead:
-            return [], 0
-        shared: list[tuple[int, int]] | None = None
-        for p in range(len(raw) - self.lookahead + 1, len(raw) + 1):
-            own = [(t.id, t.offsets[1]) for t in self.tok.model.tokenize(word[:p])]
-            if shared is None:
-                shared = own
-            k = next((i for i, (x, y) in enumerate(zip(shared, own)) if x != y), min(len(shared), len(own)))
-            shared = shared[:k]
-        starts = {0: 0}
-        at = 0
-        for k, c in enumerate(part):
-            at += len(c.encode())
-            starts[at] = k + 1
-        size, ids, done, cut = 0, [], 0, 0
-        for i, _ in shared or []:
-            ids.append(i)
-            size += len(self.bytes_of[i])
-            if size in starts:  # whole characters only, as what is held is text
-                done, cut = len(ids), starts[size]
-        return ids[:done], cut
+            for at in range(0, len(chunk), self.chunk):
+                if ids := stream.feed(chunk[at : at + self.chunk]):
+                    yield np.frombuffer(ids, "<u4")
+        if ids := stream.end():
+            yield np.frombuffer(ids, "<u4")
 
     def decode(self, ids: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text, as it becomes known, of ids that come in lists."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        table = self.bytes_of
+        table = self.merges.bytes_of
         for part in ids:
+            part = part.tolist() if isinstance(part, np.ndarray) else part
             yield state.decode(b"".join([table[i] for i in part]))
         yield state.decode(b"", True)
 
@@ -144,105 +266,78 @@ class Transducer:
 _made: dict[tuple[str, int], Transducer] = {}
 
 
-def transducer(path: str, window: int = WINDOW) -> Transducer:
+def transducer(path: str, chunk: int = CHUNK) -> Transducer:
     """One per worker process."""
-    if (path, window) not in _made:
-        _made[path, window] = Transducer(path, window)
-    return _made[path, window]
-
+    if (path, chunk) not in _made:
+        _made[path, chunk] = Transducer(path, chunk)
+    return _made[path, chunk]
 
-#: Texts the library encodes at once; its results hold every token's string and offsets.
-TOGETHER = 32
 
+def _joined(lists: Iterable[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int32), *(part.astype(np.int32) for part in lists)])
 
-def _id_lists(t: Transducer, texts: list[str]) -> Iterator[Iterator[list[int]]]:
-    """For each text its lists of ids, to be used before the next; those within a window are encoded a few together."""
-    for at in range(0, len(texts), TOGETHER):
-        part = texts[at : at + TOGETHER]
-        short = [x for x in part if len(x) <= t.window]
-        ids = iter(t.encode_short(short))
-        for x in part:
-            yield iter([next(ids)]) if len(x) <= t.window else t.encode([x])
 
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """docs with ids, an array of int."""
 
-def _add(docs: DataFrame, column: str, new: list[tuple[str, T.DataType]], values) -> DataFrame:
-    """docs with new columns that values(list of column's values) gives as lists."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(free_name(docs.columns, n), t) for n, t in new)])
-    arrow, at = to_arrow_schema(schema), docs.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = values(b.column(at).to_pylist())
-            yield pa.record_batch([*b.columns, *(pa.array(v, arrow.field(b.num_columns + k).type) for k, v in enumerate(made))], schema=arrow)
-
-    return docs.mapInArrow(run, schema)
-
+    def make():
+        t = transducer(tokenizer, chunk)
+        return lambda texts: [[_joined(t.encode([x or ""])) for x in texts]]
 
-def _joined(lists: Iterable[list[int]]) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.int32), *(np.asarray(part, np.int32) for part in lists)])
+    return add_columns(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make)
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with ids, an array of int."""
+def _decoded_sha256(t: Transducer, ids: Iterable[Iterable[int]]) -> str:
+    h = hashlib.sha256()
+    for piece in t.decode(ids):
+        h.update(piece.encode())
+    return h.hexdigest()
 
-    def values(texts):
-        t = transducer(tokenizer, window)
-        return [[_joined(lists) for lists in _id_lists(t, [x or "" for x in texts])]]
 
-    return _add(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], values)
+def encode_checked(docs: DataFrame, tokenizer: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """docs with ids and decoded_sha256, the digest of what the ids decode to: one pass, one set of Python workers."""
 
+    def make():
+        t = transducer(tokenizer, chunk)
 
-def encode_checked(docs: DataFrame, tokenizer: str, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with ids and decoded_sha256, the digest of what the ids decode to: one pass, one set of Python workers."""
+        def values(texts):
+            ids = [_joined(t.encode([x or ""])) for x in texts]
+            return [ids, [_decoded_sha256(t, (x[k : k + chunk] for k in range(0, len(x), chunk))) for x in ids]]
 
-    def values(texts):
-        t = transducer(tokenizer, window)
-        ids = [_joined(lists) for lists in _id_lists(t, [x or "" for x in texts])]
-        digests = []
-        for x in ids:
-            h = hashlib.sha256()
-            for piece in t.decode(x[k : k + WINDOW].tolist() for k in range(0, len(x), WINDOW)):
-                h.update(piece.encode())
-            digests.append(h.hexdigest())
-        return [ids, digests]
+        return values
 
-    return _add(docs, text_col, [("ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())], values)
+    return add_columns(docs, text_col, [("ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())], make)
 
 
 def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     """docs with decoded, the text of the ids; a null list is empty."""
 
-    def values(lists):
+    def make():
         t = transducer(tokenizer)
-        return [["".join(t.decode([x or []])) for x in lists]]
+        return lambda lists: [["".join(t.decode([x or []])) for x in lists]]
 
-    return _add(docs, ids_col, [("decoded", T.StringType())], values)
+    return add_columns(docs, ids_col, [("decoded", T.StringType())], make)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256: the encoder's stream goes through the decoder, neither is kept whole."""
 
-    def values(texts):
-        t = transducer(tokenizer, window)
-        n, ids_hash, text_hash = [], [], []
-        for lists in _id_lists(t, [x or "" for x in texts]):
-            count, a, b = 0, hashlib.sha256(), hashlib.sha256()
+    def make():
+        t = transducer(tokenizer, chunk)
 
-            def passed(lists=lists, a=a):
+        def one(text: str) -> tuple[int, str, str]:
+            count, h = 0, hashlib.sha256()
+
+            def passed():
                 nonlocal count
-                for part in lists:
+                for part in t.encode([text]):
                     count += len(part)
-                    a.update(np.asarray(part, "<u4").tobytes())
+                    h.update(part.tobytes())
                     yield part
 
-            for piece in t.decode(passed()):
-                b.update(piece.encode())
-            n.append(count)
-            ids_hash.append(a.hexdigest())
-            text_hash.append(b.hexdigest())
-        return [n, ids_hash, text_hash]
+            decoded = _decoded_sha256(t, passed())
+            return count, h.hexdigest(), decoded
+
+        return lambda texts: [list(c) for c in zip(*(one(x or "") for x in texts))] if texts else [[], [], []]
 
-    return _add(docs, text_col, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], values)
+    return add_columns(docs, text_col, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], make)

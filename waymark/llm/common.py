@@ -6,10 +6,13 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from waymark.session import ship
 
@@ -127,6 +130,23 @@ def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), {c: f"c{k}" for k, c in enumerate(df.columns)}
 
 
+def add_columns(df: DataFrame, column: str, new: list[tuple[str, T.DataType]], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+    """df with new columns (names get _ if taken) made in Python workers: make() is called once a task and gives a function
+    from a batch of the column's values to a list for each new column."""
+    small_batches(df.sparkSession)
+    given, name = plain(df)
+    schema = T.StructType([*given.schema.fields, *(T.StructField(f"n{k}", t) for k, (_, t) in enumerate(new))])
+    arrow, at = to_arrow_schema(schema), given.columns.index(name[column])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = make()
+        for b in batches:
+            made = values(b.column(at).to_pylist())
+            yield pa.record_batch([*b.columns, *(pa.array(v, arrow.field(b.num_columns + k).type) for k, v in enumerate(made))], schema=arrow)
+
+    return given.mapInArrow(run, schema).toDF(*df.columns, *(free_name(df.columns, n) for n, _ in new))
+
+
 def crc_part(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id is no training row of anything and counts as remainder -1."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

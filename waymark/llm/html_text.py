@@ -23,13 +23,11 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from waymark.llm.common import free_name, small_batches
+from waymark.llm.common import add_columns
 
 # Element names and words by which pages mark what is not the article.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
@@ -279,16 +277,12 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text and n_chars (names get _ if taken)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    small_batches(pages.sparkSession)
-    names = [free_name(pages.columns, n) for n in ("text", "n_chars")]
-    schema = T.StructType([*pages.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.LongType())])
-    arrow, at = to_arrow_schema(schema), pages.columns.index(html_col)
+    def make():
+        def values(pages: list) -> list[list]:
+            texts = [main_text(x) for x in pages]
+            return [texts, [len(x) for x in texts]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(x) for x in b.column(at).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(texts, arrow.field(b.num_columns).type), pa.array(map(len, texts), pa.int64())], schema=arrow)
+        return values
 
-    return pages.mapInArrow(run, schema)
+    return add_columns(pages, html_col, [("text", T.StringType()), ("n_chars", T.LongType())], make)

@@ -16,15 +16,13 @@ and learned once; an empty table gives an empty table; other columns pass throug
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import free_name, small_batches
+from waymark.llm.common import add_columns
 
 PIECES, PIECE_CHARS, DICTS = 400, 300, 2
 SEGMENT, LEVEL, MIN_MATCH, MIN_MARGIN, STEEPNESS = 1500, 6, 3, 0.01, 60.0
@@ -86,17 +84,9 @@ class Classifier:
 
 def identify(docs: DataFrame, model: dict[str, list[bytes]], text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score, rejected (names get _ if taken)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    small_batches(docs.sparkSession)
-    names = [free_name(docs.columns, n) for n in ("lang_pred", "score", "rejected")]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())))])
-    arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         c = Classifier(model)
-        for b in batches:
-            made = [c.predict(x) for x in b.column(at).to_pylist()]
-            yield pa.record_batch([*b.columns, *(pa.array([m[k] for m in made], arrow.field(b.num_columns + k).type) for k in range(3))], schema=arrow)
+        return lambda texts: [list(x) for x in zip(*map(c.predict, texts))] if texts else [[], [], []]
 
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, text_col, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], make)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from waymark.llm.common import crc_part, drop, free_name, plain, small_batches, stored
+from waymark.llm.common import add_columns, crc_part, drop, plain, small_batches, stored
 from waymark.llm.ngram_join import mixed, shingles
 from waymark.session import width
 
@@ -388,18 +388,17 @@ def _scorer(model: Model) -> Scorer:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """docs with score and predicted (names get _ if taken)."""
-    small_batches(docs.sparkSession)
-    names = [free_name(docs.columns, n) for n in ("score", "predicted")]
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
-    arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         s = Scorer(model)
-        for b in batches:
-            scores = [s.score(x) for x in b.column(at).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(scores, pa.float64()), pa.array([int(x >= cut) for x in scores], pa.int32())], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+        def values(texts: list) -> list[list]:
+            scores = [s.score(x) for x in texts]
+            return [scores, [int(x >= cut) for x in scores]]
+
+        return values
+
+    return add_columns(docs, text_col, [("score", T.DoubleType()), ("predicted", T.IntegerType())], make)
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
