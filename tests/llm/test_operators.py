@@ -593,6 +593,30 @@ def test_wrappers_with_words_stay(wrapper, inner):
         assert html_text.main_text(page) == want
 
 
+def test_neutral_names():
+    """Nothing but density and structure tells: menus, notices, comments and the copyright line go by any other name."""
+    text = "Some words of a real sentence, as long as these go. " * 5
+    menu = f'<div class=a1><div class=a2>{"".join(f"<span><a href=/{k}>Page {k}</a></span>" for k in range(7))}</div></div>'
+    comments = "".join(f'<div class=a6><div class=a7><b>Reader {k}</b> on Monday</div><p>I read this and think that it says a lot more than it should about {k}.</p></div>' for k in range(9))
+    article = f"<div class=a3><h1>Title</h1><p>{text}</p><div class=side-by-side><p>{text}</p><p>{text}</p></div><section id=warning-signs><h2>Signs</h2><p>{text}</p></section><p>{text}</p></div>"
+    page = f"<body>{menu}<div class=a4>We use small files on this site.</div>{article}<div class=a5>{comments}</div><div class=a8>&copy; 2024 Some publisher</div></body>"
+    want = " ".join(f"Title {text} {text} {text} Signs {text} {text}".split())
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(page.replace("<body>", "<body><div class=z>").replace("</body>", "</div></body>")) == want
+    # The comments in the article's own element.
+    assert html_text.main_text(page.replace("</div><div class=a5>", "<div class=a5>").replace("<div class=a8>", "</div><div class=a8>")) == want
+
+
+def test_density_decides_tables_pages(spark):
+    """The table's pages with all names taken away: the same text, found by density."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    same = 0
+    for r in pages:
+        bare = re.sub(r"<(/?)(?:article|nav|footer|section|aside|header|main)\b[^>]*>", r"<\1div>", re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|\S+?)(?=[\s>])", "", r.html or ""))
+        same += html_text.main_text(bare) == html_text.main_text(r.html)
+    assert same >= 0.98 * len(pages)
+
+
 def test_words_still_cut():
     text = "<p>" + "Some words of a real sentence, as long as these go. " * 4 + "</p>"
     for block in ('class="left-sidebar"', 'class="cookie-consent"', "id=comments", 'class="related posts"'):

@@ -1,21 +1,26 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a tree of block elements; inline elements (but for links) count as text. For every node with C characters,
+A page becomes a tree of elements; inline elements (but for links) count as text. For every node with C characters,
 T tags, LC link characters and LT link tags, and the body's LCb and Cb, the composite density is
 
     C / T * log_base(C * T / (max(LC, 1) * LT)),  base = ln(C * LC / max(C - LC, 1) + LCb * C / Cb + e)
 
-(log as in ln x / ln base), which is low for link lists. A node's density sum is that of its children (a leaf's own
-density). The node with the largest sum below the body is the article; the smallest density on its path to the body is
-the threshold, and parts beside that path whose density reaches it belong to the article too. Elements that are
-boilerplate by their tag, role or visibility are never taken. The words of a class or id only make an element doubtful: it
-is not taken unless it wraps the page's text. The prose of a node is its text outside links, boilerplate and readers'
-comments; the core is the main or article element with most prose (half counts in doubtful elements), or else the body.
-Doubtful elements around the core, and those in it that hold most of its prose, are wrappers; so are headings in it.
+(log as in ln x / ln base), which is low for link lists. A node's density sum is that of its block children (a leaf's own
+density). The node with the largest sum is the article's. The smallest density on its path up to the body, which itself
+only counts if it is that node, is the threshold: siblings on the path that are not doubtful, of the same element name and as it with or without blocks in
+them, join the article if their density reaches it.
+
+What pages say of an element only weighs: densities of elements whose class or id holds a word of WORDS, or that are made
+of repeated bylines with texts (readers' comments, by whatever name), unless they hold the first h1, count a DOUBT of theirs, and so do their parts; those
+of main and article elements count BOOST times, and the element with the page's first h1 BOOST times as a child. Inside the article an element goes if it is a
+list of links (MENU or more and no other words), a list of bylines, or doubtful and has no line of BYLINE characters, or
+its characters stand in less than DOUBTFUL of the density that the article's do. Never taken are elements that HTML itself defines as something else than text (BOILERPLATE, by
+tag or role) and hidden ones; a header in the article keeps its headings.
 
 Defined results: null or empty html gives empty text; broken markup is closed where its parent ends; character
 references are decoded, white space within a block becomes one space, blocks are joined in page order by one space;
-equal sums go to the outermost, first node; an empty table gives an empty table; other columns pass through.
+equal sums go to the outermost, first node; rows that repeat are extracted each; an empty table gives an empty table;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -40,13 +45,13 @@ WORDS = {
     "sidebar", "side", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus",
     "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "widgets", "pagination", "pager", "toolbar", "copyright", "disclaimer",
 }
-#: Of these, what readers write: it may be longer than the article, and wraps it only together with the page's h1.
-READERS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
-#: Before a word, a state of the page (has-sidebar); after it, another sense (related-work).
-STATES, SENSES = {"no", "has", "have", "with", "without", "hide", "show"}, {"work", "works", "effect", "effects"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: What never goes by the words of its class: they would take the whole page with them.
-FRAME = {"html", "body", "main", "article"}
+#: Elements that are not doubtful by the words of their class: they would take the whole page with them.
+FRAME = {"html", "body"}
+#: Weights of doubtful and of named elements; the part of the article's density that a doubtful element in it must have.
+DOUBT, BOOST, DOUBTFUL = 0.1, 10.0, 0.25
+#: Links that make a menu; repeats that make a list of comments, and the most characters of a byline.
+MENU, REPEATS, BYLINE = 3, 2, 60
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
 #: An element that begins closes an open one of these names, up to the bounds.
 CLOSES = {
@@ -60,41 +65,44 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "skip", "words", "prose", "titled", "link", "chars", "tags", "link_chars", "links", "density", "sum")
+    __slots__ = ("tag", "parent", "kids", "skip", "doubt", "list", "link", "chars", "tags", "link_chars", "links", "density", "weight", "sum", "mass", "longest", "titled")
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool = False, link: bool = False):
-        self.tag, self.parent, self.skip, self.link = tag, parent, skip, link
+    def __init__(self, tag: str, parent: "Node | None", link: bool = False):
+        self.tag, self.parent, self.link = tag, parent, link
         self.kids: list[Node | tuple[str, bool]] = []
-        self.words: set[str] = set()
-        self.titled = tag == "h1"
-        self.chars = self.tags = self.link_chars = self.links = self.prose = 0
-        self.density = self.sum = 0.0
-
-
-def _doubts(value: str) -> set[str]:
-    """The words of a class or id that speak against the element."""
-    found = set()
-    for name in value.split():
-        parts = _WORD.findall(name)
-        found |= {w for k, w in enumerate(parts) if w in WORDS and STATES.isdisjoint(parts[:k]) and SENSES.isdisjoint(parts[k + 1 : k + 2])}
-    return found
+        self.skip = self.doubt = self.list = self.titled = False
+        self.chars = self.tags = self.link_chars = self.links = self.longest = 0
+        self.density = self.sum = self.mass = 0.0
+        self.weight = 1.0
 
+    @property
+    def typical(self) -> float:
+        """The density in which a character of the node's leaves stands, in the mean."""
+        return self.mass / max(self.chars, 1)
 
-def _unwanted(tag: str, attrs: str, words: set[str]) -> bool:
-    """Whether the element goes whatever it holds; words takes those that make it doubtful."""
-    if tag in BOILERPLATE:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
+    def blocks(self) -> list["Node"]:
+        """Its parts with text that are blocks of their own and may count."""
+        return [k for k in self.kids if isinstance(k, Node) and k.chars and k.tag not in INLINE and not k.skip]
+
+
+def _doubtful(value: str) -> bool:
+    return any(w in WORDS for w in _WORD.findall(value))
+
+
+def _judge(node: Node, attrs: str) -> None:
+    """Whether the element never counts (skip), or is doubtful."""
+    if node.tag in BOILERPLATE:
+        node.skip = True
+    if not attrs or node.tag in FRAME:
+        return
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value.strip() in ROLES:
-            return True
-        if name in ("class", "id"):
-            words |= _doubts(value)
-    return False
+            node.skip = True
+        elif name == "role" and value.strip() in ROLES:
+            node.skip = True
+        elif name in ("class", "id") and _doubtful(value):
+            node.doubt = True
 
 
 def tree(page: str) -> Node:
@@ -162,7 +170,7 @@ def tree(page: str) -> Node:
             stack[-1].kids.append(Node(tag, stack[-1]))
             continue
         node = Node(tag, stack[-1], link=tag == "a")
-        node.skip = _unwanted(tag, m[3] or "", node.words)
+        _judge(node, m[3] or "")
         stack[-1].kids.append(node)
         if not (m[3] or "").rstrip().endswith("/") or tag in INLINE or tag in CLOSES_P:
             stack.append(node)
@@ -180,42 +188,7 @@ def _order(root: Node) -> list[Node]:
     return found
 
 
-def _settle(nodes: list[Node], body: Node) -> None:
-    """Skips the doubtful elements that are no wrappers, given the nodes (parents first) and their counts."""
-    if not any(x.words for x in nodes):
-        return
-    for x in reversed(nodes):
-        kids = [k for k in x.kids if isinstance(k, Node)]
-        x.titled = x.titled or any(k.titled for k in kids)
-        own = x.chars - x.link_chars - sum(k.chars - k.link_chars for k in kids)
-        x.prose = 0 if x.skip or not READERS.isdisjoint(x.words) and not x.titled else own + sum(k.prose for k in kids)
-    doubtful: set[int] = set()  # in these, or these
-    hidden: set[int] = set()
-    core, most = body, 0.0
-    for x in nodes:
-        if x.skip or id(x.parent) in hidden:
-            hidden.add(id(x))
-        if x.words or id(x.parent) in doubtful:
-            doubtful.add(id(x))
-        if x.tag in ("main", "article") and id(x) not in hidden and x.prose / (1 + (id(x) in doubtful)) > most:
-            core, most = x, x.prose / (1 + (id(x) in doubtful))
-    around, x = set(), core
-    while x is not None:
-        around.add(id(x))
-        x = x.parent
-    inside: set[int] = set()
-    for x in nodes:
-        if x is core or id(x.parent) in inside:
-            inside.add(id(x))
-        if x.words and x.tag not in FRAME and id(x) not in around:
-            x.skip = x.skip or not (id(x) in inside and (2 * x.prose > core.prose or x.tag in HEADINGS))
-
-
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    root = tree(page)
-    nodes = _order(root)
+def _count(nodes: list[Node]) -> None:
     for x in reversed(nodes):
         for k in x.kids:
             if isinstance(k, Node):
@@ -227,51 +200,119 @@ def main_text(page: str | None) -> str:
                 c = len("".join(html.unescape(k[0]).split())) if "&" in k[0] else len("".join(k[0].split()))
                 x.chars += c
                 x.link_chars += c * k[1]
-    body = next((x for x in nodes if x.tag == "body"), root)
-    _settle(nodes, body)
+
+
+def _unit(x: Node) -> bool:
+    """Whether a node is a byline with a text: first something short that names (a link, time, bold or small text), then more."""
+    inner = x
+    while len(b := inner.blocks()) == 1 and not any(isinstance(k, tuple) and k[0].strip() for k in inner.kids):
+        inner = b[0]
+    parts = [k for k in inner.kids if isinstance(k, Node) and k.chars or isinstance(k, tuple) and k[0].strip()]
+    if len(parts) < 2 or not isinstance(parts[0], Node) or parts[0].tag in HEADINGS or parts[0].chars > BYLINE:
+        return False
+    names, rest = [parts[0]], sum(k.chars if isinstance(k, Node) else len(k[0].strip()) for k in parts[1:])
+    for n in names:
+        if n.link or n.tag in ("b", "strong", "cite", "time", "small", "address", "em", "i"):
+            return rest > 0
+        names += [k for k in n.kids if isinstance(k, Node)]
+    return False
+
+
+def _density(chars: int, tags: int, link_chars: int, links: int, part: float) -> float:
+    """Composite density; part: the link characters of the body's characters."""
+    if not chars:
+        return 0.0
+    base = math.log(chars * link_chars / max(chars - link_chars, 1) + part * chars + math.e)
+    ratio = chars * max(tags, 1) / (max(link_chars, 1) * max(links, 1))
+    return chars / max(tags, 1) * max(0.0, math.log(max(ratio, 1.0)) / math.log(max(base, 1.05)))
+
+
+def _weigh(nodes: list[Node], body: Node) -> None:
+    """Densities and their weights; nodes: parents first."""
     part = body.link_chars / max(body.chars, 1)
+    title, within = None, set()
+    for x in nodes:
+        if x.tag in ("main", "article") or id(x.parent) in within:
+            within.add(id(x))
+        if x.parent and x.parent.skip and not (x.parent.tag == "header" and id(x) in within):
+            x.skip = True
+        if x.tag == "h1" and x.chars and not x.skip and title is None:
+            title = x
+    x = title
+    while x is not None:  # what holds the title holds the article, whatever its name
+        x.titled, x.doubt, x = True, False, x.parent
     for x in reversed(nodes):
-        if x.chars:
-            base = math.log(x.chars * x.link_chars / max(x.chars - x.link_chars, 1) + part * x.chars + math.e)
-            ratio = x.chars * max(x.tags, 1) / (max(x.link_chars, 1) * max(x.links, 1))
-            x.density = x.chars / max(x.tags, 1) * max(0.0, math.log(max(ratio, 1.0)) / math.log(max(base, 1.05)))
-        blocks = [k for k in x.kids if isinstance(k, Node) and k.tag not in INLINE and not k.skip]
-        x.sum = sum(k.density for k in blocks) if blocks else x.density
-    best, todo = None, [body]
+        x.density = _density(x.chars, x.tags, x.link_chars, x.links, part)
+        blocks = x.blocks()
+        named = blocks[1:] if blocks and blocks[0].tag in HEADINGS else blocks  # such a list may be headed
+        x.list = len(named) >= REPEATS and x.tag not in FRAME and not x.titled and len({k.tag for k in named}) == 1 and all(_unit(k) for k in named)
+    for x in nodes:
+        above = x.parent.weight if x.parent else 1.0
+        x.weight = above * (DOUBT if x.doubt or x.list else 1.0)
+    for x in reversed(nodes):
+        blocks = x.blocks()
+        inside = [k for k in x.kids if isinstance(k, Node) and k.tag not in INLINE]
+        chars, link_chars = x.chars - sum(k.chars for k in inside), x.link_chars - sum(k.link_chars for k in inside)
+        own = x.density if not blocks else _density(chars, 1, link_chars, 1, part)  # text of its own beside blocks is a leaf
+        x.sum = own * x.weight + sum(k.density * k.weight * (BOOST if k is title else 1.0) for k in blocks if not (k.doubt or k.list))
+        x.mass, x.longest = own * chars + sum(k.mass for k in blocks), max([chars, *(k.longest for k in blocks)])
+        if x.tag in ("main", "article"):
+            x.sum *= BOOST
+
+
+def _menu(x: Node) -> bool:
+    return x.links >= MENU and x.link_chars >= x.chars
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    root = tree(page)
+    nodes = _order(root)
+    _count(nodes)
+    body = next((x for x in nodes if x.tag == "body"), root)
+    _weigh(nodes, body)
+    best, todo = body, [body]
     while todo:  # parents first, so that the outermost of equal sums stays
         x = todo.pop()
-        if x is not body and x.tag not in INLINE and x.chars and (best is None or x.sum > best.sum):
+        if x.tag not in INLINE and x.chars and (x.sum > best.sum or best is body and not x.skip and x.sum >= best.sum > 0 and x is not body and len(body.blocks()) == 1):
             best = x
-        todo += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip]
-    if best is None or body.skip:
-        best = body
+        todo += reversed(x.blocks())
     taken, path = {id(best)}, best
     threshold = best.density
-    while path is not body and path.parent is not None:
+    while path is not body and path.parent not in (None, body):
         path = path.parent
         threshold = min(threshold, path.density)
     path = best
     while path is not body and path.parent is not None:
-        for k in path.parent.kids:
-            if isinstance(k, Node) and k is not path and not k.skip and k.tag not in INLINE and k.chars and k.density >= threshold:
+        for k in path.parent.blocks():
+            if k is not path and k.tag == path.tag and not (k.doubt or k.list) and k.chars and bool(k.blocks()) == bool(path.blocks()) and k.density >= threshold:
                 taken.add(id(k))
         path = path.parent
+    least = DOUBTFUL * best.typical
     blocks: list[list[str]] = [[]]
-    todo2: list[tuple[Node | tuple[str, bool] | None, bool]] = [(body, id(body) in taken)]
+    #: (node or text or end of a block, whether it is taken, whether only headings are)
+    todo2: list[tuple[Node | tuple[str, bool] | None, bool, bool]] = [(body, id(body) in taken, False)]
     while todo2:
-        x, inside = todo2.pop()
+        x, inside, heads = todo2.pop()
         if x is None:
             blocks.append([])
-        elif isinstance(x, tuple):
-            if inside:
+            continue
+        if isinstance(x, tuple):
+            if inside and not heads:
                 blocks[-1].append(x[0])
-        elif not x.skip or x is body:
-            inside = inside or id(x) in taken
-            edge = x.tag not in INLINE and x.tag != "wbr"
-            if edge:
-                blocks.append([])
-                todo2.append((None, False))
-            todo2 += [(k, inside) for k in reversed(x.kids)]
+            continue
+        if x.skip and x is not body:
+            if not (inside and x.tag == "header"):
+                continue
+            heads = True
+        if inside and x is not best and id(x) not in taken and x.tag not in INLINE and x.tag not in HEADINGS and (_menu(x) or x.list or x.doubt and (x.typical < least or x.longest < BYLINE)):
+            continue
+        inside, heads = inside or id(x) in taken, heads and x.tag not in HEADINGS
+        if x.tag not in INLINE and x.tag != "wbr":
+            blocks.append([])
+            todo2.append((None, False, False))
+        todo2 += [(k, inside, heads) for k in reversed(x.kids)]
     return " ".join(t for b in blocks if b and (t := " ".join(html.unescape("".join(b)).split())))
 
 
