@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from waymark.llm.common import drop, free_name, small_batches, stored
+from waymark.llm.common import drop, free_name, plain, small_batches, stored
 
 FIRST_DIGIT, GROWTH = 64, 8
 
@@ -81,18 +82,18 @@ def _collapse(id_at: int, text_at: int, carried: list[int], schema: pa.Schema):
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (all by default) with keep_id, group_size, kept and text_sha256 (names get _ if taken)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     small_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
-    uid, rep, sha, rest, n, kid, kuid = (free_name(docs.columns, f"_{x}") for x in ("uid", "rep", "sha", "rest", "n", "kid", "kuid"))
-    id_type = docs.schema[id_col].dataType
-    fields = [docs.schema[c] for c in carry]
+    plainly, name = plain(docs)
+    id_, text = name[id_col], name[text_col]
+    uid, rep, sha, rest, n, kid, kuid = "uid", "rep", "sha", "rest", "n", "kid", "kuid"
+    id_type = plainly.schema[id_].dataType
+    fields = [plainly.schema[name[c]] for c in carry]
     new = [(uid, T.LongType()), (rep, T.LongType()), (sha, T.StringType()), (rest, T.BinaryType()), (n, T.LongType()), (kid, id_type), (kuid, T.LongType())]
     schema = T.StructType([*fields, *(T.StructField(*x) for x in new)])
-    given = docs.select(id_col, text_col, *[F.col(f"`{c}`") for c in carry if c not in (id_col, text_col)])
+    given = plainly.select(id_, text, *[name[c] for c in carry if c not in (id_col, text_col)])
     at = {c: k for k, c in enumerate(given.columns)}
-    run = _collapse(0, 1 if text_col != id_col else 0, [at[c] for c in carry], to_arrow_schema(schema))
+    run = _collapse(0, 1, [at[name[c]] for c in carry], to_arrow_schema(schema))
     local = stored(given.mapInArrow(run, schema), "exact-local")
 
     active = local.where(F.col(rest).isNotNull()).select(F.col(rep).alias("u"), F.lit(0).cast("long").alias("g"), F.col(rest).alias("t"), F.col(n).alias("n"), F.struct(F.col(kid).alias("id"), F.col(kuid).alias("uid")).alias("keep"))
@@ -115,15 +116,15 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         found = found.unionAll(x)
     # What representatives alone know (singletons of the rounds) comes from the local table.
     own = local.where(F.col(rest).isNotNull()).select(F.col(rep).alias("u"), F.col(n).alias("n"), F.struct(F.col(kid).alias("id"), F.col(kuid).alias("uid")).alias("keep"))
-    final = stored(own.join(found, "u", "left").select("u", F.coalesce("size", "n").alias("size"), F.coalesce("best", "keep").alias("best")), "exact-classes").toDF("__u", "__size", "__best")
+    final = stored(own.join(found, "u", "left").select("u", F.coalesce("size", "n").alias("size"), F.coalesce("best", "keep").alias("best")), "exact-classes").toDF("of", "size", "best")
     drop(*done)
     names = [free_name(carry, x) for x in ("keep_id", "group_size", "kept", "text_sha256")]
-    out = local.join(final, F.col(rep) == F.col("__u"))
+    out = local.join(final, F.col(rep) == F.col("of"))
     return out.select(
-        *[local[f"`{c}`"] for c in carry],
-        F.col("__best.id").alias(names[0]),
-        F.col("__size").alias(names[1]),
-        (F.col("__best.uid") == F.col(uid)).alias(names[2]),
+        *[F.col(name[c]).alias(c) for c in carry],
+        F.col("best.id").alias(names[0]),
+        F.col("size").alias(names[1]),
+        (F.col("best.uid") == F.col(uid)).alias(names[2]),
         F.col(sha).alias(names[3]),
     )
 

@@ -7,11 +7,12 @@ each of several orders, and only what passes all is verified on whole sets.
 Orders put frequent tokens last (the HEAVY_MOST most frequent found, a bounded table; it steers cost, never results) and
 rank the others by a seeded hash, a seed per order.
 
-Pairs are never listed. Per order, the documents that share a prefix token form a star around their smallest document
-(partial aggregation, then a join that Spark can split when a token is hot); stars are renamed by one hop, so that a
-group of near copies is one star and not dozens. A document then has the key (star of order 1, star of order 2); documents
-that could link have a key in common. As linked sets differ in size by 4 : 3 at most, a key is split by size class (each
-document is in its own class and the next, so that neighbours meet). Documents with a key in common are screened and then
+Pairs are never listed. Linked sets differ in size by 4 : 3 at most, so sets have size classes, and only neighbours meet: per
+order, the documents of a class that share a prefix token form a star around their smallest document, which those of the
+class below join (partial aggregation, then a join that Spark can split when a token is hot). So a long document is in no
+star of the short ones that it holds. Stars are renamed by one hop, so that a group of near copies is one star and not
+dozens. A document then has the keys (star of order 1, star of order 2) of one class; documents that could link have a key
+in common. Documents with a key in common are screened and then
 verified together, all against all, in tasks of at most about 2 * HALF documents: a larger key is cut into blocks, and each pair of blocks is a task. A task returns a
 spanning forest of the links found, at most one row per document. Components come from contraction (see graph).
 
@@ -40,8 +41,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from waymark.llm.common import drop, free_name, small_batches, stored
+from waymark.llm.common import drop, free_name, plain, small_batches, stored
 from waymark.llm.graph import components
 
 WORDS, PERCENT, ORDERS = 5, 75, (11, 23)
@@ -151,20 +153,26 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _stars(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
-    """(star, uid): documents that share a prefix token have a star in common. prefixes: uid, p; reps: uid, rep where they differ."""
-    posts = prefixes.select("uid", F.explode("p").alias("token"))
-    hubs = stored(posts.groupBy("token").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", "hub"), "join-hubs")
-    rows = posts.join(hubs.hint("shuffle_hash"), "token").select("hub", "uid").distinct()
-    named = rows.join(reps, "uid", "left").select("hub", F.coalesce("rep", "uid").alias("uid"))
-    named = named.join(reps.select(F.col("uid").alias("hub"), F.col("rep").alias("hub_rep")), "hub", "left").select(F.coalesce("hub_rep", "hub").alias("hub"), "uid")
+    """(star, z, uid): documents of class z and z - 1 that share a prefix token have a star in common, if one is of class z.
+    prefixes: uid, own (the class), p; reps: uid, rep where they differ."""
+    posts = prefixes.select("uid", "own", F.explode("p").alias("token"))
+    each = posts.groupBy("token", "own").agg(F.min("uid").alias("hub"), F.count("*").alias("n"))
+    # A row for each token that several documents have, with the hub of each class (classes are few).
+    hubs = each.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("own", "hub"))).alias("hub"), F.sum("n").alias("n"))
+    hubs = stored(hubs.where("n > 1").select("token", "hub"), "join-hubs")
+    met = posts.join(hubs.hint("shuffle_hash"), "token")
+    at = F.explode(F.filter(F.transform(F.array(F.col("own"), F.col("own") + 1), lambda z: F.struct(z.alias("z"), F.col("hub")[z].alias("hub"))), lambda x: x["hub"].isNotNull()))
+    rows = met.select("uid", at.alias("x")).select("x.hub", "x.z", "uid").distinct()
+    named = rows.join(reps, "uid", "left").select("hub", "z", F.coalesce("rep", "uid").alias("uid"))
+    named = named.join(reps.select(F.col("uid").alias("hub"), F.col("rep").alias("hub_rep")), "hub", "left").select(F.coalesce("hub_rep", "hub").alias("hub"), "z", "uid")
     rows = stored(named.distinct(), "join-rows")
     drop(hubs)
-    # One hop: a hub that is in stars of smaller hubs gives its star to the smallest of them.
+    # One hop: a hub that is in stars of smaller hubs of its class gives its star to the smallest of them.
     # Stored, so that the join has plain sides and a hub with many rows can be split.
-    first = stored(rows.groupBy(F.col("uid").alias("hub")).agg(F.min("hub").alias("to")), "join-first")
-    merged = rows.join(first, "hub", "left").select(F.coalesce(F.least("to", "hub"), "hub").alias("star"), "uid").distinct()
-    many = stored(merged.groupBy("star").agg(F.count("*").alias("n")).where("n > 1").select("star"), "join-stars")
-    members = stored(merged.join(many, "star"), "join-members")
+    first = stored(rows.groupBy(F.col("uid").alias("hub"), "z").agg(F.min("hub").alias("to")), "join-first")
+    merged = rows.join(first, ["hub", "z"], "left").select(F.coalesce(F.least("to", "hub"), "hub").alias("star"), "z", "uid").distinct()
+    many = stored(merged.groupBy("star", "z").agg(F.count("*").alias("n")).where("n > 1").select("star", "z"), "join-stars")
+    members = stored(merged.join(many, ["star", "z"]), "join-members")
     drop(rows, first, many)
     return members
 
@@ -300,18 +308,17 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """The carried columns (all by default) with n_shingles, component_id, representative (names get _ if taken).
 
     representative marks one row of each component, that with the smallest id (of repeated ids the first row)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spark = docs.sparkSession
     small_batches(spark)
     carry = docs.columns if carry is None else carry
-    known = spark.sparkContext.broadcast(_frequent(docs, text_col))
-    kept = list(dict.fromkeys([*carry, id_col, text_col]))
-    taken = docs.columns
-    uid, same, n, sig, short, end, *ps = (free_name(taken, f"_{x}") for x in ("uid", "same", "n", "sig", "short", "end", *(f"p{k}" for k in range(len(ORDERS)))))
+    given, name = plain(docs)
+    id_, text = name[id_col], name[text_col]
+    known = spark.sparkContext.broadcast(_frequent(given, text))
+    kept = list(dict.fromkeys([*(name[c] for c in carry), id_, text]))
+    uid, same, n, sig, short, end, *ps = ("uid", "same", "n", "sig", "short", "end", *(f"p{k}" for k in range(len(ORDERS))))
     new = [(uid, T.LongType()), (same, T.LongType()), (n, T.LongType()), (sig, T.BinaryType()), (short, T.BinaryType()), (end, T.LongType()), *((p, T.ArrayType(T.LongType())) for p in ps)]
-    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(*x) for x in new)])
-    arrow, at = to_arrow_schema(schema), kept.index(text_col)
+    schema = T.StructType([*(given.schema[c] for c in kept), *(T.StructField(*x) for x in new)])
+    arrow, at = to_arrow_schema(schema), kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(*known.value)
@@ -336,7 +343,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
             yield pa.record_batch([*b.columns, *cols, *(_lists(p).cast(arrow.field(len(kept) + 6 + k).type) for k, p in enumerate(prefixes))], schema=arrow)
             base += b.num_rows
 
-    t1 = stored(docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema), "join-docs")
+    t1 = stored(given.select(*kept).mapInArrow(run, schema), "join-docs")
     # Local representatives of equal sets -> one of the whole table.
     local = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(sig).alias("sig"))
     many = local.groupBy("sig").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("sig", "rep")
@@ -344,16 +351,16 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     reps = stored(local.join(many, "sig").select("uid", "rep"), "join-reps")
     drop(many)
     keys, lists, tables = None, [], []
+    size_class = F.floor(F.log(F.col(n).cast("double")) / math.log(100 / PERCENT * 1.0001)).cast("int").alias("own")
     for p in ps:
-        own = t1.where(F.size(p) > 0).select(F.col(uid).alias("uid"), F.col(p).alias("p"))
+        own = t1.where(F.size(p) > 0).select(F.col(uid).alias("uid"), size_class, F.col(p).alias("p"))
         if keys is not None:
             own = own.hint("merge").join(keys.select("uid").distinct(), "uid", "left_semi")
         stars = _stars(own, reps)
         tables.append(stars)
         lists.append(stars.groupBy("uid").agg(F.collect_list("star").alias(f"a{len(lists) + 1}")))
-        keys = stars.select("uid", F.col("star").alias("s1")) if keys is None else keys.join(stars.select("uid", F.col("star").alias("s2")), "uid")
-    counted = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.floor(F.log(F.col(n).cast("double")) / math.log(100 / PERCENT * 1.0001)).cast("int").alias("own"))
-    keys = keys.join(counted, "uid").select("s1", "s2", "uid", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("z"))
+        keys = stars.select("uid", "z", F.col("star").alias("s1")) if keys is None else keys.join(stars.select("uid", "z", F.col("star").alias("s2")), ["uid", "z"])
+    keys = keys.join(t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), size_class), "uid").select("s1", "s2", "uid", "own", "z")
     # In class z are the sets of z and of z - 1; those of z - 1 alone have met in their own class.
     sizes = keys.groupBy("s1", "s2", "z").agg(F.count("*").alias("c"), F.max((F.col("own") == F.col("z")).cast("int")).alias("has")).where("c > 1 and has = 1").drop("has")
     sizes = stored(sizes, "join-keys")
@@ -367,7 +374,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         sketches = sketches.join(x, "uid")
     given = dealt.join(sketches.hint("merge"), "uid").select(*key, "uid", "n", "short", "end", "own", "side", "a1", "a2").repartition(*key).sortWithinPartitions(*key)
     screened = stored(given.mapInArrow(_screen, given.select(*key, "uid").schema), "join-screened")
-    texts = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(text_col).alias("t"))
+    texts = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(text).alias("t"))
     drop(sizes, *tables)
     # Merged at every size: what is sent then grows with the input and not by steps.
     given = screened.join(texts.hint("merge"), "uid").select(*key, "uid", "t").repartition(*key).sortWithinPartitions(*key)
@@ -375,20 +382,20 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
     drop(screened)
     roots = components(links)
-    named = t1.where(F.col(n) > 0).groupBy(F.col(same).alias("uid")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))).alias("low"))
+    named = t1.where(F.col(n) > 0).groupBy(F.col(same).alias("uid")).agg(F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(uid).alias("uid"))).alias("low"))
     named = named.join(reps, "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("uid", "low", F.coalesce("root", "rep").alias("root"))
     named = stored(named, "join-roots")
     lows = stored(named.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("c")).where("c > 1").select("root", "least"), "join-lows")
     final = stored(named.join(lows, "root", "left").select("uid", F.coalesce("least", "low").alias("low")), "join-components")
     drop(lows, named, links, reps)
-    out = t1.join(final.select(F.col("uid").alias("__same"), F.col("low").alias("__low")), F.col(same) == F.col("__same"), "left")
+    out = t1.join(final.select(F.col("uid").alias("of"), F.col("low")), F.col(same) == F.col("of"), "left")
     names = [free_name(carry, x) for x in ("n_shingles", "component_id", "representative")]
     return out.select(
-        *[t1[f"`{c}`"] for c in carry],
+        *[F.col(name[c]).alias(c) for c in carry],
         F.col(n).alias(names[0]),
-        F.when(F.col("__low").isNull(), t1[f"`{id_col}`"]).otherwise(F.col("__low.id")).alias(names[1]),
-        (F.col("__low").isNull() | (F.col("__low.uid") == F.col(uid))).alias(names[2]),
+        F.when(F.col("low").isNull(), F.col(id_)).otherwise(F.col("low.id")).alias(names[1]),
+        (F.col("low").isNull() | (F.col("low.uid") == t1[uid])).alias(names[2]),
     )
 
 

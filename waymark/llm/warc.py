@@ -12,7 +12,7 @@ leaves no half file behind. Folders are URIs that pyarrow's file systems open; a
 
 Defined results: null html is an empty payload; null urls are keyed by `urn:`; characters that a key can't hold are
 percent-encoded; rows that repeat the id of a response and its payload are responses too; a null id refers and is
-referred to as null; an empty table gives an empty table.
+referred to as null; an empty table gives an empty table; columns other than the three named ones are not archived.
 """
 
 from __future__ import annotations
@@ -33,8 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import small_batches, stored
+from waymark.session import width
 
 BLOCK_LINES, ROTATE_BYTES, LEVEL = 3000, 1 << 30, 6
+#: Lines of a shard of the index, and records that a task looks up, in the mean.
+SHARD_LINES, LOOKUP_ROWS = 1_000_000, 20_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "skey string, file string, offset long, length long"
@@ -190,7 +193,9 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[str, str, str, s
         rows = [(first, last, f"{name}.gz", f"{name}.idx", total)] if total else []
         yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string()] * 4 + [pa.int64()])], ["first", "last", "file", "directory", "lines"])
 
-    parts = captures.repartitionByRange("skey").sortWithinPartitions("skey")
+    n = captures.count()
+    few = max(1, min(width(captures.sparkSession), n // BLOCK_LINES), -(-n // SHARD_LINES))
+    parts = captures.repartitionByRange(few, "skey").sortWithinPartitions("skey")
     return sorted(tuple(r) for r in stored(parts.mapInArrow(run, SHARD), "warc-shards").collect())
 
 
@@ -280,4 +285,6 @@ def lookup(wanted: DataFrame, folder: str, shards: list[tuple[str, str, str, str
 
     small_batches(wanted.sparkSession)
     keys = stored(wanted.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url")).mapInArrow(keyed, "skey string"), "warc-wanted")
-    return keys.repartitionByRange("skey").sortWithinPartitions("skey").mapInArrow(run, FOUND)
+    # A fixed number of parts by the records' bytes: the keys alone would be merged to one task.
+    parts = max(width(wanted.sparkSession), -(-sum(s[4] for s in shards) // LOOKUP_ROWS))
+    return keys.repartitionByRange(parts, "skey").sortWithinPartitions("skey").mapInArrow(run, FOUND)
