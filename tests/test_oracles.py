@@ -16,9 +16,9 @@ def _text(v):
     return f"{v + 0.0:.5f}" if isinstance(v, float) else str(v)
 
 
-def rows(frame):
-    columns = sorted(frame.columns)
-    return columns, sorted(tuple(_text(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
+def rows(columns, data):
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return [columns[k] for k in order], sorted(tuple(_text(r[k]) for k in order) for r in data)
 
 
 @pytest.fixture(scope="module")
@@ -32,4 +32,5 @@ def duck(sf):
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query_equals_sql(spark, sf, duck, name):
     assert os.path.exists(sf)
-    assert rows(Q.QUERIES[name](spark, sf).toPandas()) == rows(duck.sql(Q.SQL[name]).df())
+    got, want = Q.QUERIES[name](spark, sf), duck.sql(Q.SQL[name])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())

@@ -1,7 +1,7 @@
 """The Viterbi decoders: batch, greedy and online with correction. One step function serves all three.
 
 Scores are logarithms. Where the original engine's result hung on hash order or on a defect, the defined results here are:
-equal scores go to the candidate with the smaller error, then the positive id, then the smaller one; a break emits the
+equal scores (to six decimals: twins of a segment differ by rounding alone) go to the candidate with the smaller error, then the positive id, then the smaller one; a break emits the
 re-initialised best match of the point at which it happened; a correction skips just the states that are too old.
 compat=True restores the stale row at a break and the stalled correction.
 """
@@ -16,6 +16,8 @@ from waymark.operators.routing import Candidate, Network, angle_between, bearing
 SIGMA, BETA, CUT, ALPHA = 50.0, 5.0, 500.0, 5.0
 JITTER_SPEED, JITTER_METRES = 34.0, 20.0
 NEVER = -math.inf
+#: Scores that agree to so many decimals are equal.
+DECIMALS = 6
 
 
 def emission(err: float, sigma: float = SIGMA) -> float:
@@ -86,19 +88,18 @@ class Viterbi:
         self.time = 0
 
     def best(self) -> Candidate | None:
-        return min(self.message, key=lambda c: (-self.message[c], c.order), default=None)
+        return min(self.message, key=lambda c: (-round(self.message[c], DECIMALS) if self.message[c] > NEVER else math.inf, c.order), default=None)
 
     def step(self, p: Point, steps: dict[tuple[Candidate, Candidate], float], weights: Weights, sigma: float = SIGMA) -> bool:
         """One observation on; False if no candidate is reachable (nothing changes then but the weights)."""
-        before = sorted(self.message, key=lambda c: c.order)
+        before = sorted((q for q in self.message if self.message[q] > NEVER), key=lambda q: q.order)
         message, states, sums = {}, {}, [0.0, 0.0]
         for c in p.candidates:
-            value, first, way = NEVER, None, NEVER
+            value, first, way, most = NEVER, None, NEVER, NEVER
             for q in before:
                 t = steps.get((q, c), NEVER)
-                score = self.message[q] + weights.transition * t
-                if score > value:
-                    value, first, way = score, q, t
+                if t > NEVER and (rounded := round(score := self.message[q] + weights.transition * t, DECIMALS)) > most:
+                    value, first, way, most = score, q, t, rounded
             e = emission(c.err, sigma)
             message[c] = value + weights.emission * e if first is not None else NEVER
             if first is not None:

@@ -329,41 +329,55 @@ def relative_transitions(spark, d):
     return hmm.relative_transition(_lattice(spark, d)).select("tid", "idx", "prev_segment_id", "segment_id", (F.round("log_p", 4) + F.lit(0.0)).alias("log_p"))
 
 
-# ---------------------------------------------------------------- decoders and what follows them (no SQL form)
+# ---------------------------------------------------------------- decoders and what follows them
 
 _SHOWN = ("tid", "idx", "segment_id", "revision", "skipped")
 
 
+def _decoded(carried: bool, dynamic: bool = True) -> str:
+    return f"WITH RECURSIVE {O.NET}, {O.PTS}, {O.CAND}, {O.SP}, {O.viterbi(carried, dynamic)}"
+
+
+_PATH = "SELECT tid, idx, segment_id, CAST(0 AS INTEGER) AS revision, FALSE AS skipped FROM path"
+
+
 def _matched(spark, d, method, **how):
     return matchers.match(pts(spark, d), seg(spark, d), method, **how)
 
 
-@query()
+@query(f"{_decoded(True)}, {O.back()} {_PATH}")
 def match_batch(spark, d):
     return _matched(spark, d, "batch").select(*_SHOWN)
 
 
-@query()
+@query(f"{_decoded(True, False)}, {O.back()} {_PATH}")
 def match_batch_fixed_split(spark, d):
     return _matched(spark, d, "batch", weights="fixed", split=True).select(*_SHOWN)
 
 
-@query()
+@query(f"{_decoded(False)} SELECT tid, idx, segment_id, CAST(0 AS INTEGER) AS revision, FALSE AS skipped FROM rec WHERE top")
 def match_greedy(spark, d):
     return _matched(spark, d, "greedy").select(*_SHOWN)
 
 
-@query()
+@query(f"{_decoded(False)}, {O.online(20)} SELECT tid, idx, segment_id, CAST(revision AS INTEGER) AS revision, FALSE AS skipped, converged FROM shown")
 def match_online(spark, d):
     return _matched(spark, d, "online", window=20).select(*_SHOWN, "converged")
 
 
-@query()
+@query(
+    f"{_decoded(False)}, {O.online(20)}, each AS (SELECT tid, now, count(*) AS n, sum(idx - (now - 20)) AS late FROM shown WHERE moved GROUP BY tid, now HAVING sum(idx - (now - 20)) > 0) "
+    "SELECT s.tid, count(*) AS n, CAST(coalesce(any_value(e.n), 0) AS BIGINT) AS corrected, CAST(coalesce(any_value(e.late), 0) AS BIGINT) AS delay FROM shown s LEFT JOIN (SELECT tid, sum(n) AS n, sum(late) AS late FROM each GROUP BY tid) e ON e.tid = s.tid GROUP BY s.tid"
+)
 def online_delays(spark, d):
     return matchers.online_delays(pts(spark, d), seg(spark, d), window=20)
 
 
-@query()
+@query(
+    f"{_decoded(True)}, {O.back()}, {O.viterbi(False, rec='greedy')}, {', '.join(f'{n} AS (SELECT tid, CAST(row_number() OVER (PARTITION BY tid ORDER BY idx) - 1 AS INTEGER) AS idx, segment_id, x, y FROM {t} WHERE segment_id IS NOT NULL{w})' for n, t, w in (('lab', 'path', ''), ('res0', 'greedy', ' AND top')))}, "
+    f"res AS (SELECT *, idx AS lidx FROM res0), j AS ({O.judged('lab', 'res')}), t AS (SELECT tid, count(*) AS n, sum(CASE WHEN good THEN 0 ELSE 1 END) AS errors FROM j GROUP BY tid) "
+    'SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS "TrajectoryIndex", n AS "currPointNum", CAST(sum(n) OVER w AS BIGINT) AS "totalPointNum", 1 - errors / n AS "currAcc", 1 - sum(errors) OVER w / sum(n) OVER w AS "totalAcc" FROM t WINDOW w AS (ORDER BY tid)'
+)
 def accuracy_of_documents(spark, d):
     """Matched GeoJSON of the greedy matcher against that of the batch matcher."""
     files = [geojson.write_matched(_matched(spark, d, m), raw=True) for m in ("batch", "greedy")]
@@ -395,7 +409,11 @@ def path_recovery(spark, d):
     return recover.recover(_matched(spark, d, "batch"), seg(spark, d))
 
 
-@query()
+@query(
+    f"{_decoded(True)}, {O.back()}, {O.viterbi(False, rec='thin', every=2)}, {O.online(20, 'thin')}, res AS (SELECT *, CASE WHEN segment_id IS NULL THEN idx ELSE idx * 2 END AS lidx FROM shown), j AS ({O.judged('path', 'res')}), "
+    "t AS (SELECT tid, count(*) AS n, CAST(sum(CASE WHEN good THEN 0 ELSE 1 END) AS BIGINT) AS errors FROM j GROUP BY tid) "
+    "SELECT tid, n, errors, round(1 - errors / n, 6) AS acc, round(1 - sum(errors) OVER w / sum(n) OVER w, 6) AS cum_acc FROM t WINDOW w AS (ORDER BY tid)"
+)
 def accuracy_online(spark, d):
     """The online matches of every second point against the batch labels of all."""
     labels, thin = _matched(spark, d, "batch"), trajectory.stride(pts(spark, d), 1).withColumn("idx", (F.col("idx") / 2).cast("int"))
@@ -417,7 +435,7 @@ def accuracy_of_third_choice(spark, d):
     return evaluate.accuracy(named(t.where("rank = 1")), named(last), seg(spark, d)).select("tid", "n", "errors", *r6("acc"))
 
 
-@query()
+@query(f"{_decoded(True)}, {O.back()} SELECT m.tid, m.tid AS oid, m.segment_id, p.time, round(m.err, 6) AS err_m, round(m.off, 6) AS offset_m, round(m.lng, 9) AS raw_lng, round(m.lat, 9) AS raw_lat FROM path m JOIN pts p ON p.tid = m.tid AND p.idx = m.idx WHERE m.segment_id IS NOT NULL")
 def matched_geojson(spark, d):
     m = _matched(spark, d, "batch")
     return geojson.read_matched(geojson.write_matched(m, raw=True)).select("tid", "oid", "segment_id", "time", *r6("err_m", "offset_m"), *r9("raw_lng", "raw_lat"))
