@@ -138,11 +138,10 @@ def _relink(network: Network, step: _Step) -> None:
             for q in earlier.places:
                 way = network.length(q.cand, x.cand)
                 if way is not None and way + q.least < least:
-                    least = x.least = way + q.least
-                    x.before = q
+                    least, x.before, step.before = way + q.least, q, earlier  # x keeps its own least length
         if least >= step.least:
             break
-        step.least, step.before, earlier = least, earlier, earlier.before
+        step.least, earlier = least, earlier.before
 
 
 # ---------------------------------------------------------------- adaptive online
@@ -154,9 +153,11 @@ def _inverse_logs(values: list[float]) -> list[float]:
     return [math.log(x / mean) for x in inverse]
 
 
-def adaptive_online(network: Network, points: list[Point], still: float = 3.0, far: float = 100.0, most: int = 4) -> list[Match]:
+def adaptive_online(network: Network, points: list[Point], compat: bool = False, still: float = 3.0, far: float = 100.0, most: int = 4) -> list[Match]:
     """Points without candidates or within `still` metres of the last kept point are skipped; a match whose way from the
-    last is over `far` recalls up to `most` earlier steps, whose outputs become skips. Each kept step has its decoder."""
+    last is over `far` recalls up to `most` earlier steps, whose outputs become skips. Each kept step has its decoder. If no
+    recalled step is near enough, the match stays as it was and all kept steps go; a break begins anew and keeps them.
+    compat: a break emits the last match once more."""
     out: list[Match] = []
     kept: list[tuple[Point, Viterbi, Candidate, int]] = []  # point, decoder after it, match, row
     weights = Weights(dynamic=False)
@@ -165,28 +166,28 @@ def adaptive_online(network: Network, points: list[Point], still: float = 3.0, f
         if not p.candidates or kept and haversine(kept[-1][0].lng, kept[-1][0].lat, p.lng, p.lat) < still:
             out.append(Match(p.idx, SKIP))
             continue
-        first, chosen = None, None
+        first, chosen, stale = None, None, kept[-1][2] if kept else None
         for recalled, (q, decoder, match, _) in enumerate(reversed(kept)):
-            steps = _steps(network, q, p)
             v = Viterbi(dict(decoder.message), dict(decoder.states), decoder.time)
-            if not _forward(v, p, steps, weights):
-                continue
+            if not _forward(v, p, _steps(network, q, p), weights):
+                break
             best = v.best()
             first = first or (v, best, 0)
-            way = network.snapped_route((match.lng, match.lat), match, (best.lng, best.lat), best)
+            way = network.snapped_route((match.lng, match.lat), match, (best.lng, best.lat), best, far + 1)
             if way is not None and way.length <= far:
                 chosen = (v, best, recalled)
                 break
+        if first is not None and chosen is None:
+            kept = []
         v, best, recalled = chosen or first or (None, None, 0)
         if v is None:
             v = Viterbi()
             v.message = dict(zip(p.candidates, _inverse_logs([c.err for c in p.candidates])))
             v.states = {}
             best = v.best()
-            kept = []
         for _ in range(recalled):
             out[kept.pop()[3]].cand = SKIP
-        out.append(Match(p.idx, best))
+        out.append(Match(p.idx, stale if compat and first is None and stale is not None else best))
         kept = [*kept, (p, v, best, row)][-most:]
     return out
 
@@ -259,19 +260,19 @@ def connectivity_score(d: float) -> float:
     return math.exp(-0.4 * d) if d < math.inf else 0.0
 
 
-def distance_weight(hdop: float, sigma: float, low: float = 1.0) -> float:
-    """Unused by the matcher: trust in a distance by the dilution of precision, from low on falling with sigma."""
-    return 1.0 if hdop <= low else math.exp(-(hdop - low) / max(sigma, EPS))
+def distance_weight(hdop: float, low: float, high: float) -> float:
+    """Unused by the matcher: by the dilution of precision; 1 up to low, then its place between low and high, 0 from high on."""
+    return 1.0 if hdop <= low else (hdop - low) / (high - low) if hdop < high else 0.0
 
 
-def heading_score(heading: float, road: float, power: int = 1) -> float:
-    """Unused by the matcher: the cosine of the angle between heading and road, to a power, from 0 to 1."""
-    return max(0.0, math.cos(math.radians(angle_between(heading, road)))) ** power
+def heading_score(road_angle: float, turned: float, step: int) -> float:
+    """Unused by the matcher: in step 1 by the angle between heading and road, in step 2 by that between two headings."""
+    return (1 + (step == 1) * math.cos(math.radians(road_angle)) + (step == 2) * math.cos(math.radians(turned))) / 2
 
 
-def heading_weight(speed: float, least: float, most: float, top: float = 1.0) -> float:
-    """Unused by the matcher: none below a least speed, linear up to a most."""
-    return 0.0 if speed <= least else top if speed >= most else top * (speed - least) / (most - least)
+def heading_weight(speed: float, before: float, low: float, high: float) -> float:
+    """Unused by the matcher: 0 if either speed is under low, 1 if both are over high, else their mean's place between."""
+    return 0.0 if min(speed, before) < low else 1.0 if min(speed, before) > high else (speed + before - 2 * low) / (2 * (high - low))
 
 
 def confidence(best: tuple, second: tuple) -> float:

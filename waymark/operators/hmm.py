@@ -51,19 +51,24 @@ def lattice(candidates: DataFrame, expanded: DataFrame, sp: DataFrame) -> DataFr
     candidates: what operators.candidates gives for points (tid, idx, lng, lat)."""
     seg = expanded.select("segment_id", "start_id", "end_id", "direction", F.col("points").alias("line"))
     cols = ["tid", "idx", "lng", "lat", "segment_id", "matched_index", "cand_lng", "cand_lat", "offset_m"]
-    c = candidates.select(*cols).join(seg, "segment_id")
+    # What does not depend on the pair is a number of each candidate; no line goes through the joins of pairs.
+    c = candidates.select(*cols).join(seg, "segment_id").withColumn("tail_m", tail("line", "matched_index", "cand_lng", "cand_lat")).drop("line")
     a = c.select("tid", (F.col("idx") + 1).alias("idx"), *[F.col(x).alias(f"a_{x}") for x in c.columns if x not in ("tid", "idx")])
-    b = c.select("tid", "idx", *[F.col(x).alias(f"b_{x}") for x in c.columns if x not in ("tid", "idx")])
+    b = c.select("tid", "idx", *[F.col(x).alias(f"b_{x}") for x in c.columns if x not in ("tid", "idx", "end_id", "direction", "tail_m")])
     j = a.join(b, ["tid", "idx"]).join(sp.select(F.col("src").alias("a_end_id"), F.col("dst").alias("b_start_id"), F.col("length_m").alias("sp_m")), ["a_end_id", "b_start_id"], "left")
-    # A candidate on the twin is re-expressed on the first one's segment.
+    # Only pairs on one road need its line.
     twin = F.col("b_segment_id") == -F.col("a_segment_id")
+    j = j.withColumn("same", twin | (F.col("a_segment_id") == F.col("b_segment_id")))
+    lines = expanded.select(F.col("segment_id").alias("line_id"), F.col("points").alias("a_line"))
+    j = j.join(lines, F.when(F.col("same"), F.col("a_segment_id")) == F.col("line_id"), "left")
+    # A candidate on the twin is re-expressed on the first one's segment.
     leg = F.when(twin, F.size("a_line") - 2 - F.col("b_matched_index")).otherwise(F.col("b_matched_index"))
-    j = j.withColumn("same", twin | (F.col("a_segment_id") == F.col("b_segment_id"))).withColumn("leg", leg)
+    j = j.withColumn("leg", leg)
     j = j.withColumn("off", F.when(twin, offset_on("a_line", "leg", "b_cand_lng", "b_cand_lat")).otherwise(F.col("b_offset_m")))
     on = along("a_line", "a_matched_index", "a_cand_lng", "a_cand_lat", "leg", "b_cand_lng", "b_cand_lat")
     back = along("a_line", "leg", "b_cand_lng", "b_cand_lat", "a_matched_index", "a_cand_lng", "a_cand_lat")
     nodes = F.when(F.col("a_end_id") == F.col("b_start_id"), F.lit(0.0)).otherwise(F.col("sp_m"))
-    through = tail("a_line", "a_matched_index", "a_cand_lng", "a_cand_lat") + nodes + offset_on("b_line", "b_matched_index", "b_cand_lng", "b_cand_lat")
+    through = F.col("a_tail_m") + nodes + F.col("b_offset_m")
     # Only one-way segments that are left backwards go round, and then from the twin's start if b was re-expressed.
     route = F.when(F.col("same") & (F.col("a_offset_m") <= F.col("off")), on).when(F.col("same") & (F.col("a_direction") == DUAL), back).otherwise(through)
     linear = haversine("a_lng", "a_lat", "b_lng", "b_lat")

@@ -61,7 +61,7 @@ def run(network: Network, points: list[Point], method: str, weights: str, window
     if method == "amm":
         return baselines.adaptive(network, points, compat)[0]
     if method == "aomm":
-        return baselines.adaptive_online(network, points)
+        return baselines.adaptive_online(network, points, compat)
     if method == "dwrmm":
         return baselines.dynamically_weighted(network, points)
     return decode(network, points, mode=method, weights=Weights(dynamic=weights == "dynamic"), window=window, compat=compat, turning=turning, finalize=finalize)

@@ -41,6 +41,7 @@ def recover_points(network: Network, found: list[Candidate]) -> list[tuple[list[
             if a.seg == b.seg:  # back on the same segment: the match moved, the vehicle did not turn
                 add([b.seg], [(b.lng, b.lat)])
                 continue
+            add([a.seg], network._tail(a))  # on to the segment's end, and cut there
             parts.append(([], []))
             add([b.seg], [(b.lng, b.lat)])
             continue

@@ -1,7 +1,7 @@
 """Geometry, shortest paths and routes between candidates in plain Python: the one core that batch and streaming decoders share.
 
-Network is made from plans.network.collected(), so it is small by that bound; searches are Dijkstra's with a heap, bounded
-by length where the caller can bound it, and kept per source for the steps of one trajectory.
+Network is made from plans.network.collected(), so it is small by that bound; searches are Dijkstra's with a heap that stop at
+their target or bound, go on from there when more is asked, and are kept by source up to a number of entries.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from typing import NamedTuple
 
 RADIUS, LEGACY_RADIUS = 6378137.0, 6371000.0
 _INT_MIN = -(2**31)
+#: Entries of all searches that a network keeps, some 200 bytes each.
+KEEP = 2_000_000
 
 
 def haversine(lng1: float, lat1: float, lng2: float, lat2: float) -> float:
@@ -95,8 +97,8 @@ def project(lng: float, lat: float, line: list[tuple[float, float]], compat: boo
 class Network:
     """Directed segments by id, and routes between nodes, candidates and points."""
 
-    def __init__(self, segments: dict[int, tuple], keep: int = 4096):
-        self.segments, self.keep = segments, keep
+    def __init__(self, segments: dict[int, tuple], keep: int = KEEP):
+        self.segments, self.keep, self.entries = segments, keep, 0
         self.out: dict[int, list[tuple[int, float, int]]] = {}
         self.place: dict[int, tuple[float, float]] = {}
         for s, (a, b, _, length, line) in segments.items():
@@ -106,35 +108,38 @@ class Network:
         for edges in self.out.values():
             edges.sort(key=lambda e: (e[1], e[2] < 0, abs(e[2])))
         self.legs = {s: [haversine(*p, *q) for p, q in zip(x[4], x[4][1:])] for s, x in segments.items()}
-        self.found: OrderedDict[int, tuple[float, dict[int, tuple[float, int, int]]]] = OrderedDict()
+        #: Searches by source: lengths found, what is to be looked at, settled nodes, entries.
+        self.found: OrderedDict[int, tuple[dict, list, dict, int]] = OrderedDict()
 
-    def _search(self, src: int, bound: float) -> dict[int, tuple[float, int, int]]:
-        """node -> (length, node before, segment) up to the bound or a little more: rounded up, so that steps share searches."""
+    def _search(self, src: int, bound: float, dst: int | None = None) -> dict[int, tuple[float, int, int]]:
+        """node -> (length, node before, segment) of settled nodes: up to the bound, rounded up so that steps share searches,
+        or with dst until it is settled. A search is kept and goes on where it stopped; `keep` bounds the entries of all."""
         bound = math.ceil(bound / 500) * 500.0 if bound < math.inf else bound
-        held = self.found.get(src)
-        if held and held[0] >= bound:
+        if src in self.found:
             self.found.move_to_end(src)
-            return held[1]
-        best, heap, done = {src: (0.0, -1, 0)}, [(0.0, src)], set()
-        while heap:
+            best, heap, done, had = self.found[src]
+        else:
+            best, heap, done, had = {src: (0.0, -1, 0)}, [(0.0, src)], {}, 0
+        while heap and heap[0][0] <= bound and dst not in done:
             d, u = heapq.heappop(heap)
-            if u in done or d > bound:
+            if u in done:
                 continue
-            done.add(u)
+            done[u] = best[u]
             for v, w, s in self.out.get(u, ()):
-                if d + w <= bound and (v not in best or d + w < best[v][0]):
+                if v not in best or d + w < best[v][0]:
                     best[v] = (d + w, u, s)
                     heapq.heappush(heap, (d + w, v))
-        self.found[src] = (bound, best)
-        if len(self.found) > self.keep:
-            self.found.popitem(last=False)
-        return best
+        self.found[src] = (best, heap, done, len(best) + len(heap))
+        self.entries += len(best) + len(heap) - had
+        while self.entries > self.keep and len(self.found) > 1:
+            self.entries -= self.found.popitem(last=False)[1][3]
+        return done
 
     def distance(self, src: int, dst: int, bound: float = math.inf) -> float | None:
         """Metres along edges; None: unreachable within the bound."""
         if src == dst:
             return 0.0
-        found = self._search(src, bound).get(dst)
+        found = self._search(src, bound, dst).get(dst)
         return found[0] if found and found[0] <= bound else None
 
     def node_path(self, src: int, dst: int, bound: float = math.inf) -> Route | None:
@@ -142,7 +147,7 @@ class Network:
             return None
         if src == dst:
             return Route(0.0, (), ())
-        found, at, segs = self._search(src, bound), dst, []
+        found, at, segs = self._search(src, bound, dst), dst, []
         while at != src:
             _, before, s = found[at]
             segs.append(s)
@@ -218,15 +223,15 @@ class Network:
             raise LookupError("no segment within the search distance")
         return self.snapped_route(a, ends[0], b, ends[1]) or Route(math.inf, (), ())
 
-    def snapped_route(self, a: tuple[float, float], ca: Candidate, b: tuple[float, float], cb: Candidate) -> Route | None:
+    def snapped_route(self, a: tuple[float, float], ca: Candidate, b: tuple[float, float], cb: Candidate, bound: float = math.inf) -> Route | None:
         extra = haversine(*a, ca.lng, ca.lat) + haversine(*b, cb.lng, cb.lat)
         if self.twin(ca.seg) == cb.seg and ca.seg != cb.seg:
             cb = self.reversed(cb)
         if ca.seg == cb.seg and (ca.offset <= cb.offset or self.segments[ca.seg][2]):
-            ways = [self.route(ca, cb)]
+            ways = [self.route(ca, cb, bound)]
         else:
             both = lambda c: [c, self.reversed(c)] if self.twin(c.seg) is not None else [c]
-            ways = [self.route(x, y) for x in both(ca) for y in both(cb)]
+            ways = [self.route(x, y, bound) for x in both(ca) for y in both(cb)]
         best = min((w for w in ways if w), key=lambda w: w.length, default=None)
         return best and Route(best.length + extra, best.segments, (a, *best.points, b))
 
