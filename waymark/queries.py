@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import oracle as O
-from waymark.functions import coords, geo, types, wkt
+from waymark.functions import coords, geo, types, weights, wkt
 from waymark.operators import candidates as C
 from waymark.operators import evaluate, hmm, matchers, recover, shortest_path, trajectory
 from waymark.plans import fixtures, network
@@ -429,10 +429,14 @@ def accuracy_online(spark, d):
 )
 def accuracy_of_third_choice(spark, d):
     """The evaluator on rows that SQL can make: the nearest segment as label, the third nearest (or last) as result."""
+    return _third_choice(spark, d).select("tid", "n", "errors", *r6("acc"))
+
+
+def _third_choice(spark, d):
     named = lambda c: c.select("tid", "idx", F.col("idx").alias("cand_index"), "segment_id", F.col("cand_lng").alias("lng"), F.col("cand_lat").alias("lat"))
     t = C.top(pts(spark, d), seg(spark, d), 3)
     last = t.groupBy("tid", "idx").agg(F.max_by(F.struct(*t.columns), "rank").alias("b")).select("b.*")
-    return evaluate.accuracy(named(t.where("rank = 1")), named(last), seg(spark, d)).select("tid", "n", "errors", *r6("acc"))
+    return evaluate.accuracy(named(t.where("rank = 1")), named(last), seg(spark, d))
 
 
 @query(f"{_decoded(True)}, {O.back()} SELECT m.tid, m.tid AS oid, m.segment_id, p.time, round(m.err, 6) AS err_m, round(m.off, 6) AS offset_m, round(m.lng, 9) AS raw_lng, round(m.lat, 9) AS raw_lat FROM path m JOIN pts p ON p.tid = m.tid AND p.idx = m.idx WHERE m.segment_id IS NOT NULL")
@@ -451,3 +455,147 @@ def point_routes(spark, d):
     """From each trajectory's first point to its last."""
     s = trajectory.statistics(pts(spark, d))
     return shortest_path.point_routes(s.select(F.col("tid").alias("id"), F.col("start_lng").alias("lng1"), F.col("start_lat").alias("lat1"), F.col("end_lng").alias("lng2"), F.col("end_lat").alias("lat2")), seg(spark, d))
+
+
+# ---------------------------------------------------------------- smaller operators
+
+
+@query(f"WITH {O.PTS} SELECT tid, idx, time FROM pts WHERE idx < 10")
+def truncated_points(spark, d):
+    return trajectory.truncate(pts(spark, d), 10).select("tid", "idx", "time")
+
+
+def _lines(spark, d):
+    row = F.concat(F.lit('["'), F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.lit('",'), F.col("lng").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
+    lines = pts(spark, d).groupBy("oid").agg(F.sort_array(F.collect_list(F.struct("idx", row.alias("r")))).alias("s"))
+    return lines.select(F.concat(F.lit("["), F.col("oid"), F.lit(",["), F.array_join(F.transform("s", lambda x: x["r"]), ","), F.lit("]]")).alias("value"))
+
+
+@query(f"WITH {O.PTS} SELECT tid || '2024-01-01 00:00:00' AS tid, tid AS oid, idx, time, {s9('lng', 'lat')} FROM pts WHERE idx < 7")
+def truncated_text(spark, d):
+    """The first seven points of each line, as they stand."""
+    t = _lines(spark, d).select(text.parse_line("value", most=7, convert=False).alias("t")).select("t.tid", "t.oid", F.explode("t.points").alias("p"))
+    return t.select("tid", "oid", "p.idx", "p.time", *[F.round(f"p.{c}", 9).alias(c) for c in ("lng", "lat")])
+
+
+@query(f"{_decoded(True)}, {O.back()} SELECT tid, tid AS oid, CAST(row_number() OVER (PARTITION BY tid ORDER BY idx) - 1 AS INTEGER) AS idx, {s9('lng', 'lat')} FROM path WHERE segment_id IS NOT NULL")
+def raw_points_of_matches(spark, d):
+    return geojson.read_raw_points(geojson.write_matched(_matched(spark, d, "batch"), raw=True)).select("tid", "oid", "idx", *r9("lng", "lat"))
+
+
+@query(f"{_CAND} SELECT DISTINCT tid, idx, node_id, role FROM (SELECT tid, idx, end_id AS node_id, 'source' AS role FROM cand UNION ALL SELECT tid, idx, start_id, 'target' FROM cand)")
+def candidate_nodes(spark, d):
+    s = seg(spark, d)
+    return shortest_path.candidate_nodes(C.candidates(pts(spark, d), s), s)
+
+
+_OLD = "2 * atan2(sqrt({0}), sqrt(1 - {0})) * 6371000e0"
+_HALF = "(pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))"
+
+
+@query(f"WITH {O.PTS}, {_LEGS} SELECT tid, idx, round({_OLD.format(_HALF.format('py', 'lat', 'px', 'lng'))}, 6) AS plain_m, round({_OLD.format(_HALF.format('radians(py)', 'radians(lat)', 'radians(px)', 'radians(lng)'))}, 6) AS twice_m, round({_OLD.format(_HALF.format('py', 'lat', 'px', 'lng'))} / 3000, 9) AS velocity FROM l WHERE px IS NOT NULL")
+def legacy_speeds(spark, d):
+    w = trajectory.by_point()
+    p = pts(spark, d).withColumns({"px": F.lag("lng").over(w), "py": F.lag("lat").over(w)}).where("px is not null")
+    plain, twice = (geo.legacy_distance("px", "py", "lng", "lat", compat) for compat in (False, True))
+    return p.select("tid", "idx", F.round(plain, 6).alias("plain_m"), F.round(twice, 6).alias("twice_m"), F.round(geo.legacy_velocity(plain, F.lit(3000)), 9).alias("velocity"))
+
+
+@query(f"WITH {O.NET} SELECT segment_id, CAST(10 AS INTEGER) AS numbers, TRUE AS closed, {', '.join(f'round({f}({c}1, {c}2, {c}3), 9) AS {n}' for f, c, n in (('least', 'x', 'west'), ('least', 'y', 'south'), ('greatest', 'x', 'east'), ('greatest', 'y', 'north')))} FROM seg")
+def envelopes(spark, d):
+    ring = F.transform(F.regexp_extract_all(geo.bbox_wkt(geo.points_bbox("points")), F.lit(r"-?[0-9.]+(?:E-?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
+    r = seg(spark, d).select("segment_id", ring.alias("r"))
+    return r.select("segment_id", F.size("r").alias("numbers"), ((F.col("r")[0] == F.col("r")[8]) & (F.col("r")[1] == F.col("r")[9])).alias("closed"), *[F.round(F.col("r")[k], 9).alias(n) for k, n in ((0, "west"), (1, "south"), (4, "east"), (5, "north"))])
+
+
+@query(f"WITH {O.PTS}, {_LEGS} SELECT tid, idx, coalesce(abs(lng - px) < 0.0003e0 AND abs(lat - py) < 0.0003e0, FALSE) AS still, lng - idx < {O.BOX[0]}e0 OR lng - idx > {O.BOX[1]}e0 OR lat + idx < {O.BOX[2]}e0 OR lat + idx > {O.BOX[3]}e0 AS abroad FROM l")
+def position_predicates(spark, d):
+    w = trajectory.by_point()
+    p = pts(spark, d).withColumns({"px": F.lag("lng").over(w), "py": F.lag("lat").over(w)})
+    return p.select("tid", "idx", F.coalesce(geo.same_position("px", "py", "lng", "lat", 0.0003), F.lit(False)).alias("still"), coords.outside(F.col("lng") - F.col("idx"), F.col("lat") + F.col("idx")).alias("abroad"))
+
+
+@query("SELECT * FROM (VALUES ('POINT', 'Point', TRUE, TRUE, FALSE), ('linestring', 'LineString', TRUE, FALSE, FALSE), ('int', 'Integer', FALSE, FALSE, FALSE), ('bool', 'Boolean', FALSE, FALSE, FALSE), ('TimeStamp', 'Timestamp', FALSE, FALSE, TRUE), ('datetime', 'Datetime', FALSE, FALSE, TRUE), ('roadsegment', 'RoadSegment', FALSE, FALSE, FALSE)) t(given, name, is_geometry, is_point, is_date)")
+def type_predicates(spark, d):
+    given = ["POINT", "linestring", "int", "bool", "TimeStamp", "datetime", "roadsegment"]
+    return spark.createDataFrame([(g, types.normalize(g), types.is_geometry(g), types.is_point(g), types.is_date(g)) for g in given], "given string, name string, is_geometry boolean, is_point boolean, is_date boolean")
+
+
+@query(
+    f"WITH {O.PTS}, {_LEGS}, v AS (SELECT *, leg_m / 3 AS v, lag(leg_m / 3) OVER (PARTITION BY tid ORDER BY idx) AS b, (idx % 7) * 0.5e0 AS hdop, CAST(idx % 181 AS DOUBLE) AS a FROM l) "
+    "SELECT tid, idx, round(CASE WHEN hdop <= 1 THEN 1e0 WHEN hdop < 2.6e0 THEN (hdop - 1) / 1.6e0 ELSE 0e0 END, 9) AS distance_weight, round((1 + cos(radians(a))) / 2, 9) AS first_score, round((1 + cos(radians(180 - a))) / 2, 9) AS next_score, "
+    "round(CASE WHEN v < 8 OR b < 8 THEN 0e0 WHEN v > 14 AND b > 14 THEN 1e0 ELSE (v + b - 16) / 12e0 END, 9) AS heading_weight FROM v WHERE b IS NOT NULL"
+)
+def quality_weights(spark, d):
+    """What the dynamically weighted matcher defines beside what it uses."""
+    w = trajectory.by_point()
+    p = trajectory.moving_speed(pts(spark, d)).withColumns({"b": F.lag("speed").over(w), "hdop": (F.col("idx") % 7) * 0.5, "a": (F.col("idx") % 181).cast("double")}).where("b is not null")
+    made = {"distance_weight": weights.distance_weight("hdop", 1.0, 2.6), "first_score": weights.heading_score("a", F.lit(0.0), 1), "next_score": weights.heading_score(F.lit(0.0), 180 - F.col("a"), 2), "heading_weight": weights.heading_weight("speed", "b", 8.0, 14.0)}
+    return p.select("tid", "idx", *[F.round(v, 9).alias(k) for k, v in made.items()])
+
+
+@query(f"WITH {O.NET}, g AS (SELECT segment_id, {', '.join(f'{O.hav(*x)} AS d{k}, {O.bearing(*x)} AS b{k}, cos(radians({x[1]})) * sin(radians({x[3]})) - sin(radians({x[1]})) * cos(radians({x[3]})) * cos(radians({x[2]} - {x[0]})) AS n{k}, sin(radians({x[2]} - {x[0]})) * cos(radians({x[3]})) AS e{k}' for k, x in ((1, ('x1', 'y1', 'x2', 'y2')), (2, ('x2', 'y2', 'x3', 'y3'))))} FROM seg) SELECT segment_id, round(fmod(degrees(atan2((e1 * d1 + e2 * d2) / (d1 + d2), (n1 * d1 + n2 * d2) / (d1 + d2))) + 360e0, 360e0), 6) AS mean_bearing FROM g")
+def mean_bearings(spark, d):
+    return seg(spark, d).select("segment_id", F.round(geo.weighted_direction("points", F.lit(0.0)), 6).alias("mean_bearing"))
+
+
+_THIRD = SQL["accuracy_of_third_choice"]
+
+
+@query(f'SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS "index", acc AS "currAcc", round(avg(1 - errors / n) OVER w, 6) AS "avgAcc", 0e0 AS "labelTime", 0e0 AS "streamTime" FROM ({_THIRD}) WINDOW w AS (ORDER BY tid)')
+def accuracy_table(spark, d):
+    """The experiment's table over the nearest and the third nearest segments."""
+    t = results.accuracy_table(_third_choice(spark, d))
+    return t.select("index", *r6("currAcc", "avgAcc"), "labelTime", "streamTime")
+
+
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(errors) AS BIGINT) AS errors, round(1 - sum(errors) / sum(n), 6) AS acc, round(avg(1 - errors / n), 6) AS mean_acc FROM ({_THIRD})")
+def average_accuracy(spark, d):
+    return evaluate.total(_third_choice(spark, d)).select("n", "errors", *r6("acc", "mean_acc"))
+
+
+_ENDS = lambda t, s, e: f"CASE {t}.direction WHEN 1 THEN [{t}.start_id, {t}.end_id] WHEN 2 THEN [{t}.{s}] WHEN 3 THEN [{t}.{e}] ELSE [] END"
+_ON = lambda t, p: f"({p}.x = {t}.x1 AND {p}.y = {t}.y1 OR {p}.x = {t}.x3 AND {p}.y = {t}.y3)"
+
+
+@query(
+    f"{_decoded(True)}, {O.back()}, {O.viterbi(False, rec='greedy')}, {', '.join(f'{n} AS (SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY idx) - 1 AS pos, segment_id, x, y FROM {t} WHERE segment_id IS NOT NULL{w})' for n, t, w in (('lab', 'path', ''), ('res', 'greedy', ' AND top')))}, "
+    f"j AS (SELECT r.tid, r.pos, r.segment_id = l.segment_id AS agree, {_ON('rs', 'r')} AS r_on, {_ON('ls', 'l')} AS l_on, [rs.start_id, rs.end_id] AS r_both, [ls.start_id, ls.end_id] AS l_both, {_ENDS('ls', 'start_id', 'end_id')} AS l_some, {_ENDS('rs', 'end_id', 'start_id')} AS r_some "
+    "FROM res r JOIN lab l ON l.tid = r.tid AND l.pos = r.pos JOIN seg rs ON rs.segment_id = r.segment_id JOIN seg ls ON ls.segment_id = l.segment_id), "
+    "k AS (SELECT *, first_value(CASE WHEN agree THEN l_some END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM j), "
+    "w AS (SELECT tid, CASE WHEN agree THEN 0 WHEN pos > 0 AND r_on THEN CASE WHEN later IS NULL OR len(list_intersect(r_both, later)) > 0 THEN 0 ELSE 1 END WHEN pos > 0 AND l_on THEN CASE WHEN len(list_intersect(r_some, l_both)) > 0 THEN 0 ELSE 1 END ELSE 1 END AS wrong FROM k) "
+    "SELECT tid, count(*) AS n, CAST(sum(wrong) AS BIGINT) AS errors, round(1 - sum(wrong) / count(*), 6) AS acc FROM w GROUP BY tid"
+)
+def strict_accuracy(spark, d):
+    """The file comparison's rule: greedy results against batch labels."""
+    return evaluate.strict(_matched(spark, d, "batch"), _matched(spark, d, "greedy"), seg(spark, d)).select("tid", "n", "errors", *r6("acc"))
+
+
+@query(
+    f"{_decoded(True)}, {O.back()}, m AS (SELECT m.*, row_number() OVER w AS k, lag(segment_id) OVER w AS before, lag(end_id) OVER w AS left_at, lag(off) OVER w AS off0 FROM path m WHERE segment_id IS NOT NULL WINDOW w AS (PARTITION BY tid ORDER BY idx)), "
+    "c AS (SELECT m.*, CAST(sum(CASE WHEN before IS NOT NULL AND before <> m.segment_id AND d.d IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY idx) AS INTEGER) AS part FROM m LEFT JOIN sp d ON d.src = m.left_at AND d.dst = m.start_id), "
+    "e AS (SELECT tid, part, arg_min(segment_id, idx) AS first_id, arg_max(segment_id, idx) AS last_id, arg_min(x, idx) AS from_lng, arg_min(y, idx) AS from_lat, arg_max(x, idx) AS x, arg_max(y, idx) AS y, arg_max(x3, idx) AS x3, arg_max(y3, idx) AS y3, max(part) OVER (PARTITION BY tid) AS last FROM c GROUP BY tid, part) "
+    "SELECT tid, tid AS oid, part, first_id, last_id, round(from_lng, 9) AS from_lng, round(from_lat, 9) AS from_lat, round(CASE WHEN part < last THEN x3 ELSE x END, 9) AS to_lng, round(CASE WHEN part < last THEN y3 ELSE y END, 9) AS to_lat FROM e"
+)
+def path_ends(spark, d):
+    """Where the parts of recovered paths begin and end; which of several equally short ways lies between is not shown."""
+    r = recover.recover(_matched(spark, d, "batch"), seg(spark, d))
+    at = lambda c, k: F.element_at(c, k)
+    return r.select("tid", "oid", "part", at("segment_ids", 1).alias("first_id"), at("segment_ids", -1).alias("last_id"), *[F.round(at("points", k)[c], 9).alias(f"{n}_{c}") for k, n in ((1, "from"), (-1, "to")) for c in ("lng", "lat")])
+
+
+_PLACES = ", ".join(f"{{0}}.{c} AS {{1}}_{c}" for c in ("segment_id", "start_id", "end_id", "direction", "x1", "y1", "x2", "y2", "x3", "y3", "leg", "x", "y", "off"))
+
+
+@query(
+    f"{_CAND}, {O.SP}, best AS (SELECT tid, idx, lng, lat, segment_id, err_m, rank FROM ranked WHERE rank = 1), c AS (SELECT *, matched_index AS leg, cand_lng AS x, cand_lat AS y, offset_m AS off FROM cand), "
+    "span AS (SELECT tid, min(idx) AS i, max(idx) AS k FROM pts GROUP BY tid), q AS (SELECT s.tid, a.lng AS alng, a.lat AS alat, b.lng AS blng, b.lat AS blat, s.i, s.k FROM span s JOIN pts a ON a.tid = s.tid AND a.idx = s.i JOIN pts b ON b.tid = s.tid AND b.idx = s.k), "
+    f"w AS (SELECT q.tid, ba.err_m AS e1, bb.err_m AS e2, a.segment_id = ba.segment_id AND b.segment_id = bb.segment_id AS own, {_PLACES.format('a', 'a')}, {_PLACES.format('b', 'b')}, d.d AS between FROM q JOIN best ba ON ba.tid = q.tid AND ba.idx = q.i JOIN best bb ON bb.tid = q.tid AND bb.idx = q.k "
+    "JOIN c a ON a.tid = q.tid AND a.idx = q.i AND abs(a.segment_id) = abs(ba.segment_id) JOIN c b ON b.tid = q.tid AND b.idx = q.k AND abs(b.segment_id) = abs(bb.segment_id) LEFT JOIN sp d ON d.src = a.end_id AND d.dst = b.start_id), "
+    f"l AS (SELECT tid, min(e1 + e2 + {O.route()}) AS length_m FROM w GROUP BY tid) SELECT q.tid AS id, round(CASE WHEN alng = blng AND alat = blat THEN 0 ELSE l.length_m END, 6) AS length_m FROM q LEFT JOIN l ON l.tid = q.tid"
+)
+def point_route_lengths(spark, d):
+    """From each trajectory's first point to its last, snapped within 50 metres; which of equally short ways is not shown."""
+    s = trajectory.statistics(pts(spark, d))
+    ends = s.select(F.col("tid").alias("id"), F.col("start_lng").alias("lng1"), F.col("start_lat").alias("lat1"), F.col("end_lng").alias("lng2"), F.col("end_lat").alias("lat2"))
+    return shortest_path.point_routes(ends, seg(spark, d), 50.0).select("id", *r6("length_m"))

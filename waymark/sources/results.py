@@ -12,8 +12,8 @@ def accuracy_table(accuracies: DataFrame, label_seconds: float = 0.0, stream_sec
     """index, currAcc, avgAcc, labelTime, streamTime: a row for each trajectory in order of tid (from evaluate.accuracy).
 
     The times are what the driver measured for the whole run, spread evenly over the trajectories."""
-    n = accuracies.count()
     t = running(accuracies, {"k": F.lit(1), "all": F.col("acc")})
+    n = t.count()
     return t.select((F.col("k") - 1).cast("int").alias("index"), F.col("acc").alias("currAcc"), (F.col("all") / F.col("k")).alias("avgAcc"), F.lit(label_seconds / max(n, 1)).alias("labelTime"), F.lit(stream_seconds / max(n, 1)).alias("streamTime"))
 
 
