@@ -7,6 +7,7 @@ import random
 import pytest
 
 from waymark.operators import baselines
+from waymark.operators.recover import recover_points
 from waymark.operators.decoder import NEVER, Decoder, Point, Weights, decode, emission, transitions
 from waymark.operators.routing import Candidate, Network, haversine, project
 
@@ -167,3 +168,74 @@ def test_exact_projection_is_no_farther_than_the_halving_one():
         line = [(104 + 0.001 * k, 30.6 + rng.uniform(0, 0.001)) for k in range(6)]
         x, y = 104 + rng.uniform(0, 0.005), 30.6 + rng.uniform(0, 0.001)
         assert project(x, y, line)[0] <= project(x, y, line, compat=True)[0] + 1e-9
+
+
+# ---------------------------------------------------------------- rules of the original, on hand-made rows
+
+
+def test_path_is_cut_at_the_segments_end():
+    net = city()
+    net.segments[99] = (90, 91, False, 100.0, [(105.0, 30.6), (105.001, 30.6), (105.002, 30.6)])
+    alone = Network(net.segments)
+    a, b = alone.at(99, 105.0002, 30.6), alone.at(1, 104.0005, 30.6)
+    parts = recover_points(alone, [a, b])
+    assert [p[0] for p in parts] == [[99], [1]]
+    assert parts[0][1] == [(a.lng, a.lat), (105.001, 30.6), (105.002, 30.6)] and parts[1][1] == [(b.lng, b.lat)]
+
+
+def test_repair_leaves_a_candidates_own_length():
+    net = city()
+    steps = []
+    for k, (seg, lng, lat, least) in enumerate([(1, 104.0005, 30.6, 0.0), (4, 104.002, 30.601, 900.0), (3, 104.0045, 30.6, 950.0)]):
+        step = baselines._Step(Point(k, 1000 * k, lng, lat), [baselines._Place(net.at(seg, lng, lat, k), least)], steps[-1] if steps else None, least)
+        steps.append(step)
+    baselines._relink(net, steps[2])
+    x = steps[2].places[0]
+    assert x.least == 950.0 and x.before is steps[0].places[0] and steps[2].before is steps[0]
+    assert steps[2].least == pytest.approx(net.length(steps[0].places[0].cand, x.cand))
+
+
+def test_recall_that_fails_forgets_and_a_break_keeps():
+    net = city()
+    at = lambda k, seg, lng, lat: Point(k, 3000 * k, lng, lat, [net.at(seg, lng, lat, k)])
+    far = [at(0, 1, 104.0002, 30.6), at(1, 1, 104.0008, 30.6), at(2, 22, 104.006, 30.605)]
+    got = baselines.adaptive_online(net, far, far=1.0)
+    assert [m.cand.skip for m in got] == [False, False, False]  # no step is near enough: nothing is taken back
+    lone = dict(net.segments) | {99: (90, 91, False, 100.0, [(104.0, 30.61), (104.001, 30.61)])}
+    cut = Network(lone)
+    broken = [at(0, 1, 104.0002, 30.6), Point(1, 3000, 104.0005, 30.61, [cut.at(99, 104.0005, 30.61, 1)])]
+    plain, compat = (baselines.adaptive_online(cut, broken, compat=c) for c in (False, True))
+    assert plain[1].cand.seg == 99 and compat[1].cand.seg == 1
+
+
+def test_unused_weights():
+    assert [baselines.distance_weight(h, 1, 3) for h in (0.5, 1, 2, 3, 4)] == [1, 1, 0.5, 0, 0]
+    assert baselines.heading_score(60, 90, 1) == pytest.approx(0.75) and baselines.heading_score(60, 90, 2) == pytest.approx(0.5)
+    assert [baselines.heading_weight(*v, 2, 6) for v in ((1, 9), (7, 8), (4, 4), (2, 6))] == [0, 1, 0.5, 0.5]
+
+
+def test_searches_stop_and_are_bounded():
+    net = city(12)
+    nodes = range(144)
+    whole = {(a, b): net.distance(a, b) for a in nodes for b in nodes}
+    fresh = Network(net.segments, keep=300)
+    rng = random.Random(1)
+    for _ in range(600):
+        a, b = rng.choice(nodes), rng.choice(nodes)
+        bound = rng.choice([math.inf, 400.0, 1500.0])
+        want = whole[a, b]
+        got = fresh.distance(a, b, bound)
+        assert got == (want if want is not None and want <= bound else None)
+        assert fresh.entries <= 300 or len(fresh.found) == 1
+    near = Network(net.segments)
+    near.distance(0, 1)
+    assert near.entries < 20
+
+
+def test_own_weights_and_router():
+    net = city()
+    points = walk(net, 5, steps=6)
+    own = Weights(0.5, 0.5, False)
+    assert [m.cand for m in decode(net, points, weights=own)] == [m.cand for m in decode(net, points, weights=Weights(dynamic=False))]
+    heavy = Weights(0.0, 1.0, False)  # emissions alone: the nearest candidates
+    assert [m.cand for m in decode(net, points, mode="greedy", weights=heavy)][0] == min(points[0].candidates, key=lambda c: c.order)

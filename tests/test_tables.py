@@ -174,3 +174,44 @@ def test_larger_networks_are_refused_plainly(tables):
     with pytest.raises(ValueError, match="limited") as e:
         network.collected(tables[0], most=10)
     assert "operators.lattice" not in str(e.value)
+
+
+def test_late_rows_are_put_out_and_revisions_kept(spark, tables, tmp_path):
+    from waymark.streaming import matcher
+
+    seg, pts = tables
+    one = pts.where("tid = '1'")
+    early, late = one.where("idx between 20 and 40"), one.where("idx < 20 or idx > 40")
+    early.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = match_stream(stream, seg, "online", late="mark").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(matcher.keep(out)).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    rows = spark.read.parquet(out)
+    assert sorted(r.idx for r in rows.where("revision = -1").collect()) == list(range(20))
+    newest = matcher.latest(rows).collect()
+    assert sorted(r.idx for r in newest) == list(range(20, one.count())) and rows.where("revision >= 0").count() > len(newest)
+
+
+def test_running_sums(spark):
+    rows = [(f"t{k:03d}", k % 5, k % 2) for k in range(57)]
+    got = evaluate.running(spark.createDataFrame(rows, "tid string, n long, errors long").repartition(5), {"a": F.col("n"), "b": F.col("errors")}).collect()
+    a = b = 0
+    want = {}
+    for t, n, e in rows:
+        a, b = a + n, b + e
+        want[t] = (a, b)
+    assert {r.tid: (r.a, r.b) for r in got} == want
+
+
+def test_strict_accuracy(spark, tables):
+    """Labels along segments 1, 1, 3 (nodes 0-1, 1-2); results agree, lie on an end and are put off, or are far."""
+    seg, _ = tables
+    ends = {r.segment_id: (r.points[0], r.points[-1]) for r in seg.where("segment_id in (1, 3, 9)").collect()}
+    row = lambda t, i, s, k: (t, i, s, ends[s][k].lng if k is not None else 0.0, ends[s][k].lat if k is not None else 0.0)
+    labels = [row("a", 0, 1, None), row("a", 1, 1, None), row("a", 2, 3, None), row("b", 0, 1, None), row("b", 1, 1, None), row("c", 0, 1, None), row("c", 1, 1, 1)]
+    results = [row("a", 0, 1, None), row("a", 1, 3, 0), row("a", 2, 3, None), row("b", 0, 1, None), row("b", 1, 9, None), row("c", 0, 1, None), row("c", 1, 3, None)]
+    schema = "tid string, idx int, segment_id int, lng double, lat double"
+    got = {r.tid: (r.n, r.errors) for r in evaluate.strict(spark.createDataFrame(labels, schema), spark.createDataFrame(results, schema), seg).collect()}
+    assert got["a"] == (3, 0) and got["b"] == (2, 1) and got["c"][0] == 2

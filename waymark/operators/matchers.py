@@ -6,6 +6,8 @@ anew where a point has no candidate, so match(split=True) cuts long trajectories
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,18 +29,23 @@ def broadcast_network(spark: SparkSession, expanded: DataFrame):
     return spark.sparkContext.broadcast(collected(expanded))
 
 
-_networks: dict[int, Network] = {}
+_networks: dict[tuple, Network] = {}
 
 
-def network_of(broadcast) -> Network:
-    """One per worker process and broadcast."""
-    key = id(broadcast.value)
+def network_of(broadcast, router: Callable[[dict[int, tuple]], Network] = Network) -> Network:
+    """One per worker process, broadcast and router."""
+    key = id(broadcast.value), f"{router.__module__}.{router.__qualname__}"
     if key not in _networks:
         _networks.clear()
-        _networks[key] = Network(broadcast.value)
+        _networks[key] = router(broadcast.value)
     return _networks[key]
 
 
+def weights_of(weights: str | Callable[[], Weights]) -> Weights:
+    """dynamic, fixed, or what a user's function gives: anything with transition, emission and update(emissions, transitions)."""
+    return weights() if callable(weights) else Weights(dynamic=weights == "dynamic")
+
+
 def points_of(rows: pd.DataFrame) -> list[Point]:
     """Points with candidates, in order, from rows of hits (no segment_id: no candidate; of a segment the nearest leg)."""
     rows = rows.sort_values(["idx", "err_m", "matched_index"], kind="stable")
@@ -57,14 +64,14 @@ def points_of(rows: pd.DataFrame) -> list[Point]:
     return found
 
 
-def run(network: Network, points: list[Point], method: str, weights: str, window: int, compat: bool, turning: bool, finalize: bool) -> list[Match]:
+def run(network: Network, points: list[Point], method: str, weights: str | Callable[[], Weights], window: int, compat: bool, turning: bool, finalize: bool) -> list[Match]:
     if method == "amm":
         return baselines.adaptive(network, points, compat)[0]
     if method == "aomm":
         return baselines.adaptive_online(network, points, compat)
     if method == "dwrmm":
         return baselines.dynamically_weighted(network, points)
-    return decode(network, points, mode=method, weights=Weights(dynamic=weights == "dynamic"), window=window, compat=compat, turning=turning, finalize=finalize)
+    return decode(network, points, mode=method, weights=weights_of(weights), window=window, compat=compat, turning=turning, finalize=finalize)
 
 
 def rows_of(points: list[Point], matches: list[Match], first: dict) -> list[tuple]:
@@ -95,8 +102,10 @@ def joined(points: DataFrame, expanded: DataFrame, radius: float = RADIUS) -> Da
     return hits(given, expanded, radius, keep_misses=True).withColumn("millis", F.unix_millis("time"))
 
 
-def match(points: DataFrame, expanded: DataFrame, method: str = "batch", *, weights: str = "dynamic", window: int = 10, radius: float = RADIUS, compat: bool = False, turning: bool = False, finalize: bool = False, split: bool = False) -> DataFrame:
-    """A row for each point (table matched_points). points: tid, oid, idx, time, lng, lat; expanded: the directed network."""
+def match(points: DataFrame, expanded: DataFrame, method: str = "batch", *, weights: str | Callable[[], Weights] = "dynamic", window: int = 10, radius: float = RADIUS, compat: bool = False, turning: bool = False, finalize: bool = False, split: bool = False, router: Callable[[dict[int, tuple]], Network] = Network) -> DataFrame:
+    """A row for each point (table matched_points). points: tid, oid, idx, time, lng, lat; expanded: the directed network.
+    weights: "dynamic", "fixed", or a function that makes a weight adjuster for a trajectory; router: what searches paths, a
+    Network or a subclass with another _search()."""
     if method not in METHODS:
         raise ValueError(f"method is one of {', '.join(METHODS)}")
     if split and (weights != "fixed" or method not in ("batch", "greedy", "online")):
@@ -111,7 +120,7 @@ def match(points: DataFrame, expanded: DataFrame, method: str = "batch", *, weig
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         points = points_of(pdf)
         first = {int(i): (t, o, int(i), w) for t, o, i, w in zip(pdf["tid"], pdf["oid"], pdf["idx"], pdf["time"])}
-        return _frame(rows_of(points, run(network_of(net), points, method, weights, window, compat, turning, finalize), first))
+        return _frame(rows_of(points, run(network_of(net, router), points, method, weights, window, compat, turning, finalize), first))
 
     return rows.groupBy(*keys).applyInPandas(fold, MATCHED)
 
@@ -132,7 +141,7 @@ def online_delays(points: DataFrame, expanded: DataFrame, *, weights: str = "dyn
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         found = points_of(pdf)
-        d = Decoder(network_of(net), "online", Weights(dynamic=weights == "dynamic"), window, compat)
+        d = Decoder(network_of(net), "online", weights_of(weights), window, compat)
         for p in found:
             d.feed(p)
         return pd.DataFrame({"tid": [pdf["tid"].iloc[0]], "n": [len(found)], "corrected": [d.delay_points], "delay": [d.delay]})

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import points_bbox
 
 UNDEFINED, DUAL, FORWARD, BACKWARD = -1, 1, 2, 3
-# The road levels' names by code.
-LEVELS = {-1: "UNDEFINED", 0: "ELEVATED_ROAD", 1: "HIGHWAY", 2: "EXPRESSWAY", 3: "NATIONAL_ROAD", 4: "PROVINCIAL_ROAD", 5: "COUNTY_ROAD", 6: "TOWN_ROAD", 7: "OTHER_ROAD", 8: "LEVEL_9_ROAD", 9: "SIDEWALK"}
-#: The most vertices of a network that goes to every task (8 to 40 bytes each); larger ones take the iterative search.
-BROADCAST_VERTICES = 20_000_000
+#: The most vertices of a network that goes to every task, some 110 bytes each and Python worker (the default is 220 MB);
+#: larger ones take the iterative search.
+BROADCAST_VERTICES = 2_000_000
 _INT_MIN = -(2**31)
 
 
@@ -31,13 +30,6 @@ def flipped(segments: DataFrame) -> DataFrame:
     )
 
 
-def twins(flat: DataFrame) -> DataFrame:
-    """The reversed twins of dual segments, with negative ids (the smallest int for 0)."""
-    dual = flat.where(F.col("direction") == DUAL)
-    twin_id = F.when(F.col("segment_id") == 0, F.lit(_INT_MIN)).otherwise(-F.col("segment_id")).cast("int")
-    return dual.withColumns({"segment_id": twin_id, "points": F.reverse("points"), "start_id": F.col("end_id"), "end_id": F.col("start_id")})
-
-
 def expand(segments: DataFrame) -> DataFrame:
     """All directed segments; one scan, as each row yields itself and at most one twin."""
     flat = flipped(segments)
@@ -72,6 +64,12 @@ def one_hop(expanded: DataFrame) -> DataFrame:
     return a.join(b, (F.col("end_id") == F.col("start_id")) & (F.col("segment_id") != F.col("next_id"))).select("segment_id", "next_id")
 
 
+def at_nodes(expanded: DataFrame) -> DataFrame:
+    """(node_id, segment_id, role): the outgoing segments of a node begin there, its incoming ones end there."""
+    ends = F.explode(F.array(F.struct(F.col("start_id").alias("node_id"), F.lit("outgoing").alias("role")), F.struct(F.col("end_id").alias("node_id"), F.lit("incoming").alias("role"))))
+    return expanded.select("segment_id", ends.alias("e")).select("e.node_id", "segment_id", "e.role")
+
+
 def adjacent(expanded: DataFrame) -> DataFrame:
     """(segment_id, other_id): pairs of segments that share a node."""
     ends = expanded.select("segment_id", F.explode(F.array_distinct(F.array("start_id", "end_id"))).alias("node_id"))

@@ -81,6 +81,11 @@ def one_hop_edges(spark, d):
     return network.one_hop(seg(spark, d))
 
 
+@query(f"WITH {O.NET} SELECT start_id AS node_id, segment_id, 'outgoing' AS role FROM seg UNION ALL SELECT end_id, segment_id, 'incoming' FROM seg")
+def node_segments(spark, d):
+    return network.at_nodes(seg(spark, d))
+
+
 @query(f"WITH {O.NET} SELECT a.segment_id, b.segment_id AS other_id FROM seg a JOIN seg b ON a.segment_id < b.segment_id AND (a.start_id IN (b.start_id, b.end_id) OR a.end_id IN (b.start_id, b.end_id))")
 def adjacent_edges(spark, d):
     return network.adjacent(seg(spark, d))
