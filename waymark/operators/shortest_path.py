@@ -45,6 +45,21 @@ def shortest_paths(pairs: DataFrame, expanded: DataFrame, bound: float = math.in
     return pairs.select("src", "dst").distinct().groupBy("src").applyInPandas(search, SP)
 
 
+def paths_from(sources: DataFrame, expanded: DataFrame, bound: float = math.inf) -> DataFrame:
+    """sp from each distinct source (column src) to every node of the network; no pairs are listed beforehand."""
+    net = broadcast_network(sources.sparkSession, expanded)
+
+    def search(batches):
+        network = network_of(net)
+        nodes = sorted(network.place)
+        for pdf in batches:
+            for src in pdf["src"].tolist():
+                ways = [network.node_path(int(src), d, bound) for d in nodes]
+                yield pd.DataFrame({"src": pd.Series([src] * len(nodes), dtype="int32"), "dst": pd.Series(nodes, dtype="int32"), "length_m": [w.length if w else None for w in ways], "segment_ids": [list(w.segments) if w else None for w in ways]})
+
+    return sources.select("src").distinct().mapInPandas(search, SP)
+
+
 def iterative(sources: DataFrame, edges: DataFrame, bound: float, rounds: int = 10_000) -> DataFrame:
     """(src, dst, length_m) of all nodes within the bound of each source (column src), by rounds of joins.
 
@@ -59,8 +74,8 @@ def iterative(sources: DataFrame, edges: DataFrame, bound: float, rounds: int =
         least = F.min_by(F.struct("length_m", "fresh"), F.struct("length_m", "fresh"))
         best = both.groupBy("src", "dst").agg(least.alias("m")).select("src", "dst", "m.length_m", "m.fresh").checkpoint()
         if best.where("fresh").isEmpty():
-            break
-    return best.select("src", "dst", "length_m")
+            return best.select("src", "dst", "length_m")
+    raise RuntimeError(f"lengths still fall after {rounds} rounds")
 
 
 def point_routes(requests: DataFrame, expanded: DataFrame, radius: float = 300.0) -> DataFrame:

@@ -273,34 +273,16 @@ def end_point_matches(spark, d):
 # ---------------------------------------------------------------- graph and probabilities
 
 
-@query(f"WITH {O.NET}, {O.SP} SELECT p.node_id AS src, q.node_id AS dst, round(s.d, 6) AS length_m FROM nodes p CROSS JOIN nodes q LEFT JOIN sp s ON s.src = p.node_id AND s.dst = q.node_id WHERE p.node_id % 7 = 0")
-def shortest_paths(spark, d):
-    n = fixtures.road_nodes(spark, d).select("node_id")
-    targets = n.agg(F.collect_list("node_id").alias("all"))  # 144 nodes of the lattice
-    pairs = n.where("node_id % 7 = 0").withColumnRenamed("node_id", "src").join(F.broadcast(targets)).select("src", F.explode("all").alias("dst"))
-    return shortest_path.shortest_paths(pairs, seg(spark, d)).select("src", "dst", *r6("length_m"))
-
-
-@query(f"WITH {O.NET}, {O.SP} SELECT src, dst, round(d, 6) AS length_m FROM sp WHERE src % 29 = 0 AND d <= 900")
-def shortest_paths_iterative(spark, d):
-    from waymark.session import checkpointed
-
-    checkpointed(spark)
-    n = fixtures.road_nodes(spark, d).where("node_id % 29 = 0").select(F.col("node_id").alias("src"))
-    return shortest_path.iterative(n, network.edges(seg(spark, d)), 900.0).select("src", "dst", *r6("length_m"))
-
-
 @query(f"WITH {O.NET}, {O.SP} SELECT p.node_id AS src, q.node_id AS dst, round(s.d, 6) AS length_m FROM nodes p CROSS JOIN nodes q LEFT JOIN sp s ON s.src = p.node_id AND s.dst = q.node_id")
-def shortest_paths_all(spark, d):
-    """Every node as a source."""
-    n = fixtures.road_nodes(spark, d)
-    pairs = n.select(F.col("node_id").alias("src")).crossJoin(n.select(F.col("node_id").alias("dst")))
-    return shortest_path.shortest_paths(pairs, seg(spark, d)).select("src", "dst", *r6("length_m"))
+def shortest_paths(spark, d):
+    """From every node to every node."""
+    n = fixtures.road_nodes(spark, d).select(F.col("node_id").alias("src"))
+    return shortest_path.paths_from(n, seg(spark, d)).select("src", "dst", *r6("length_m"))
 
 
 @query(f"WITH {O.NET}, {O.SP} SELECT src, dst, round(d, 6) AS length_m FROM sp")
-def shortest_paths_iterative_all(spark, d):
-    """Every node as a source, without a bound."""
+def shortest_paths_iterative(spark, d):
+    """From every node, without a bound."""
     from waymark.session import checkpointed
 
     checkpointed(spark)
