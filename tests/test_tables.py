@@ -165,7 +165,7 @@ def test_shortest_paths_of_all_sources(spark, sf, tables):
         for a in nodes:
             for b in nodes:
                 want[a, b] = min(want[a, b], want[a, k] + want[k, b])
-    for name in ("shortest_paths_all", "shortest_paths_iterative_all"):
+    for name in ("shortest_paths", "shortest_paths_iterative"):
         got = {(r.src, r.dst): r.length_m for r in queries.QUERIES[name](spark, sf).where("length_m is not null").collect()}
         assert got == pytest.approx({p: w for p, w in want.items() if w < float("inf")}, abs=1e-5) and len(nodes) == 144
 
