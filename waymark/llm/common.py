@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -76,12 +77,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
-    _made.append(path)
+    _made.paths.append(path)
     return out
 
 
-#: Folders of the tables that stored() wrote and that drop() has not removed.
-_made: list[str] = []
+class _Made(threading.local):
+    """Folders of the tables that stored() wrote in this thread and that drop() has not removed."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -93,28 +100,30 @@ def drop(*tables: DataFrame) -> None:
     """Removes tables that stored() returned and nothing will read again."""
     for t in tables:
         _remove(t.sparkSession, t.scratch)
-        _made.remove(t.scratch)
+        if t.scratch in _made.paths:
+            _made.paths.remove(t.scratch)
 
 
-def made_since(mark: int) -> list[str]:
-    return _made[mark:]
+def made_since(before: set[str]) -> list[str]:
+    """Of this thread's tables those that were not there then."""
+    return [p for p in _made.paths if p not in before]
 
 
-def mark() -> int:
-    return len(_made)
+def mark() -> set[str]:
+    return set(_made.paths)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Removes those of the folders that are still there."""
-    for path in [p for p in paths if p in _made]:
+    for path in [p for p in paths if p in _made.paths]:
         _remove(spark, path)
-        _made.remove(path)
+        _made.paths.remove(path)
 
 
 def purge(spark: SparkSession) -> None:
     """Removes all scratch tables of the application; call when no result that reads them is needed."""
     _remove(spark, f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}")
-    _made.clear()
+    _made.paths.clear()
 
 
 def free_name(taken: Iterable[str], name: str) -> str:
