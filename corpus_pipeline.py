@@ -4,12 +4,18 @@ STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns
 returns as Parquet to the shared folder and reads it again as the next one's docs. All but the last return the columns of
 documents. An empty table passes through as an empty table.
 
-A stage's result is to be written before the next stage begins, as run() does: the tables that it was made from, in the
-shared folder, go when the next stage begins.
+A stage's result is to be written before the next stage of the same thread begins, as run() does: the tables that it was
+made from, in the shared folder, go when the next stage begins. Pipelines of several threads don't touch each other's.
+
+Defined results, by the operators': null texts count as empty (toxicity keeps them as clean; they are copies of each other
+and of empty texts, so one stays; the n-gram join links them with nothing; they have no tokens); texts of any length pass
+whole; of equal texts the largest doc_id stays, of near copies the smallest; rows that repeat an id are rows of their own;
+null ids are kept; columns of other names, also ones that the operators add themselves, pass through all but the last stage.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -49,7 +55,14 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return made.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
-_spent: list[str] = []
+class _Spent(threading.local):
+    """Tables behind the last stage's result, by thread."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_spent = _Spent()
 
 
 def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -57,10 +70,10 @@ def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _spent)
+        release(spark, _spent.paths)
         begin = mark()
         result = stage(spark, docs, sf_dir)
-        _spent[:] = made_since(begin)
+        _spent.paths = made_since(begin)
         return result
 
     return run_stage
