@@ -8,9 +8,9 @@ Orders put frequent tokens last (the HEAVY_MOST most frequent found, a bounded t
 rank the others by a seeded hash, a seed per order.
 
 Pairs are never listed. Linked sets differ in size by 4 : 3 at most, so sets have size classes, and only neighbours meet: per
-order, the documents of a class that share a prefix token form a star around their smallest document, which those of the
-class below join (partial aggregation, then a join that Spark can split when a token is hot). So a long document is in no
-star of the short ones that it holds. Stars are renamed by one hop, so that a group of near copies is one star and not
+order, the documents that share a prefix token form a star, named by their smallest document (partial aggregation, then a
+join that Spark can split when a token is hot), of which each class is a star of its own, named by its own smallest document,
+that those of the class below join. So a long document meets none of the short ones that it holds. Stars are renamed by one hop, so that a group of near copies is one star and not
 dozens. A document then has the keys (star of order 1, star of order 2) of one class; documents that could link have a key
 in common. Documents with a key in common are screened and then
 verified together, all against all, in tasks of at most about 2 * HALF documents: a larger key is cut into blocks, and each pair of blocks is a task. A task returns a
@@ -152,28 +152,27 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
 
 
-def _stars(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
+def _stars(prefixes: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
     """(star, z, uid): documents of class z and z - 1 that share a prefix token have a star in common, if one is of class z.
-    prefixes: uid, own (the class), p; reps: uid, rep where they differ."""
-    posts = prefixes.select("uid", "own", F.explode("p").alias("token"))
-    each = posts.groupBy("token", "own").agg(F.min("uid").alias("hub"), F.count("*").alias("n"))
-    # A row for each token that several documents have, with the hub of each class (classes are few).
-    hubs = each.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("own", "hub"))).alias("hub"), F.sum("n").alias("n"))
-    hubs = stored(hubs.where("n > 1").select("token", "hub"), "join-hubs")
-    met = posts.join(hubs.hint("shuffle_hash"), "token")
-    at = F.explode(F.filter(F.transform(F.array(F.col("own"), F.col("own") + 1), lambda z: F.struct(z.alias("z"), F.col("hub")[z].alias("hub"))), lambda x: x["hub"].isNotNull()))
-    rows = met.select("uid", at.alias("x")).select("x.hub", "x.z", "uid").distinct()
-    named = rows.join(reps, "uid", "left").select("hub", "z", F.coalesce("rep", "uid").alias("uid"))
-    named = named.join(reps.select(F.col("uid").alias("hub"), F.col("rep").alias("hub_rep")), "hub", "left").select(F.coalesce("hub_rep", "hub").alias("hub"), "z", "uid")
+    prefixes: uid, p; reps: uid, rep where they differ; classes: uid, own."""
+    posts = prefixes.select("uid", F.explode("p").alias("token"))
+    hubs = stored(posts.groupBy("token").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", "hub"), "join-hubs")
+    rows = posts.join(hubs.hint("shuffle_hash"), "token").select("hub", "uid").distinct()
+    named = rows.join(reps, "uid", "left").select("hub", F.coalesce("rep", "uid").alias("uid"))
+    named = named.join(reps.select(F.col("uid").alias("hub"), F.col("rep").alias("hub_rep")), "hub", "left").select(F.coalesce("hub_rep", "hub").alias("hub"), "uid")
     rows = stored(named.distinct(), "join-rows")
     drop(hubs)
-    # One hop: a hub that is in stars of smaller hubs of its class gives its star to the smallest of them.
+    # One hop: a hub that is in stars of smaller hubs gives its star, in all classes, to the smallest of them.
     # Stored, so that the join has plain sides and a hub with many rows can be split.
-    first = stored(rows.groupBy(F.col("uid").alias("hub"), "z").agg(F.min("hub").alias("to")), "join-first")
-    merged = rows.join(first, ["hub", "z"], "left").select(F.coalesce(F.least("to", "hub"), "hub").alias("star"), "z", "uid").distinct()
-    many = stored(merged.groupBy("star", "z").agg(F.count("*").alias("n")).where("n > 1").select("star", "z"), "join-stars")
-    members = stored(merged.join(many, ["star", "z"]), "join-members")
-    drop(rows, first, many)
+    first = stored(rows.groupBy(F.col("uid").alias("hub")).agg(F.min("hub").alias("to")), "join-first")
+    merged = rows.join(first, "hub", "left").select(F.coalesce(F.least("to", "hub"), "hub").alias("star"), "uid").distinct()
+    each = merged.join(classes, "uid").select("star", "uid", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("z"))
+    each = stored(each, "join-stars")
+    # In a class a star is named anew, by its smallest document of that class: stars that these share are one.
+    many = each.groupBy("star", "z").agg(F.count("*").alias("n"), F.min(F.when(F.col("own") == F.col("z"), F.col("uid"))).alias("hub")).where("n > 1 and hub is not null").select("star", "z", "hub")
+    many = stored(many, "join-many")
+    members = stored(each.join(many, ["star", "z"]).select(F.col("hub").alias("star"), "z", "uid").distinct(), "join-members")
+    drop(rows, first, each, many)
     return members
 
 
@@ -352,15 +351,16 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     drop(many)
     keys, lists, tables = None, [], []
     size_class = F.floor(F.log(F.col(n).cast("double")) / math.log(100 / PERCENT * 1.0001)).cast("int").alias("own")
+    classes = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), size_class)
     for p in ps:
-        own = t1.where(F.size(p) > 0).select(F.col(uid).alias("uid"), size_class, F.col(p).alias("p"))
+        own = t1.where(F.size(p) > 0).select(F.col(uid).alias("uid"), F.col(p).alias("p"))
         if keys is not None:
             own = own.hint("merge").join(keys.select("uid").distinct(), "uid", "left_semi")
-        stars = _stars(own, reps)
+        stars = _stars(own, reps, classes)
         tables.append(stars)
-        lists.append(stars.groupBy("uid").agg(F.collect_list("star").alias(f"a{len(lists) + 1}")))
+        lists.append(stars.groupBy("uid", "z").agg(F.collect_list("star").alias(f"a{len(lists) + 1}")))
         keys = stars.select("uid", "z", F.col("star").alias("s1")) if keys is None else keys.join(stars.select("uid", "z", F.col("star").alias("s2")), ["uid", "z"])
-    keys = keys.join(t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), size_class), "uid").select("s1", "s2", "uid", "own", "z")
+    keys = keys.join(classes, "uid").select("s1", "s2", "uid", "own", "z")
     # In class z are the sets of z and of z - 1; those of z - 1 alone have met in their own class.
     sizes = keys.groupBy("s1", "s2", "z").agg(F.count("*").alias("c"), F.max((F.col("own") == F.col("z")).cast("int")).alias("has")).where("c > 1 and has = 1").drop("has")
     sizes = stored(sizes, "join-keys")
@@ -370,9 +370,9 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     dealt = dealt.select("uid", "own", F.col("x").alias("side"), "s1", "s2", "z", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
     key = ["s1", "s2", "z", "i", "j"]
     sketches = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(n).alias("n"), F.col(short).alias("short"), F.col(end).alias("end"))
-    for x in lists:
-        sketches = sketches.join(x, "uid")
-    given = dealt.join(sketches.hint("merge"), "uid").select(*key, "uid", "n", "short", "end", "own", "side", "a1", "a2").repartition(*key).sortWithinPartitions(*key)
+    # A class has stars of its own, so what two documents have in common is looked for within the class.
+    sketches = lists[0].join(lists[1], ["uid", "z"]).join(sketches, "uid")
+    given = dealt.join(sketches.hint("merge"), ["uid", "z"]).select(*key, "uid", "n", "short", "end", "own", "side", "a1", "a2").repartition(*key).sortWithinPartitions(*key)
     screened = stored(given.mapInArrow(_screen, given.select(*key, "uid").schema), "join-screened")
     texts = t1.where(F.col(sig).isNotNull()).select(F.col(uid).alias("uid"), F.col(text).alias("t"))
     drop(sizes, *tables)
