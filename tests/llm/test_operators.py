@@ -145,6 +145,51 @@ def test_documents_made_of_the_same_parts(spark):
     assert own.count() == len(got) and got[0].uid == 1 and got[0]["z.z"] == 2
 
 
+def rows_of_joins(spark, since=-1):
+    """(id of the last execution, rows made by each join of those after since)."""
+    store, number = spark._jsparkSession.sharedState().statusStore(), lambda x: int(x.replace(",", ""))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found, last = [], since
+    executions = store.executionsList()
+    for k in range(executions.size()):
+        e = executions.apply(k).executionId()
+        last = max(last, e)
+        if e > since:
+            values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+            for n in (nodes.apply(i) for i in range(nodes.size())):
+                for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
+                    if "Join" in n.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        found.append(number(values.apply(m.accumulatorId())))
+    return last, found
+
+
+def test_rows_grow_with_the_parts_of_a_document(spark):
+    """Four documents share a passage with each of 50 others of their size: rows by their number, not by its square."""
+    rng = random.Random(8)
+    others = [[str(rng.randrange(10**9)) for _ in range(600)] for _ in range(50)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(others)] + [(100 + k, " ".join(w for x in others for w in x[12 * k : 12 * k + 12])) for k in range(4)]
+    since, _ = rows_of_joins(spark)
+    got = ngram_join.annotate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 54
+    _, made = rows_of_joins(spark, since)
+    assert made and max(made) < 3000
+
+
+def test_screen_by_numbers():
+    """No link is lost by the numbers of shared prefix tokens, and documents with a few tokens in common don't pass."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(290, 400)], fresh(rng.integers(0, 60))])) for _ in range(30)]
+    sets += [np.unique(np.concatenate([base[8 * k : 8 * k + 8], fresh(380)])) for k in range(8)]
+    links = {(i, j) for i in range(38) for j in range(i + 1, 38) if 100 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - b)}
+    prefixes = [ngram_join.Orders(np.sort(base[:5]), np.arange(1, 6)).prefixes(s)[0] for s in sets]
+    n = dict(zip(*(x.tolist() for x in np.unique(np.concatenate([p for p, _ in prefixes]), return_counts=True))))
+    shared = np.array([sum(n[int(t)] > 1 for t in p) for p, _ in prefixes])
+    pairs = ngram_join.counted(np.array([len(s) for s in sets]), shared, np.array([e for _, e in prefixes]))
+    assert links and links <= set(zip(*(x.tolist() for x in np.nonzero(pairs)))) and not pairs[30:, 30:].any()
+
+
 def test_clashing_names(docs):
     """Names that the operators use inside, names with dots and with other case pass through."""
     odd = ["uid", "same", "sig", "star", "hub", "rep", "key", "cdf", "u", "n", "of", "low", "best", "t", "g", "x.y", "TEXT_", "bucket", "h", "place", "k"]
