@@ -55,14 +55,14 @@ def match_stream(points: DataFrame, expanded: DataFrame, method: str = "greedy",
         pdf = pd.concat(list(frames), ignore_index=True).sort_values(["millis", "idx"], kind="stable")
         if last is not None:
             new = (pdf["millis"] > last) | ((pdf["millis"] == last) & (pdf["idx"] > last_idx))
-            old = points_of(pdf[~new]) if late == "mark" else []
+            old = points_of(pdf[~new], network) if late == "mark" else []
             if old:
                 when = {int(i): (key[0], o, int(i), t) for i, o, t in zip(pdf["idx"], pdf["oid"], pdf["time"])}
                 yield _frame(rows_of(old, [Match(p.idx, None, -1) for p in old], when))
             pdf = pdf[new]
         named = {int(i): (o, t) for i, o, t in zip(pdf["idx"], pdf["oid"], pdf["time"])}
         rows: dict[int, Match] = {}
-        for p in sorted(points_of(pdf), key=lambda p: (p.millis, p.idx)) if len(pdf) else ():
+        for p in sorted(points_of(pdf, network), key=lambda p: (p.millis, p.idx)) if len(pdf) else ():
             seen[p.idx] = (Point(p.idx, p.millis, p.lng, p.lat), *named[p.idx])
             for m in decoder.feed(p):
                 rows[m.idx] = replace(m)
