@@ -175,6 +175,29 @@ def test_rows_grow_with_the_parts_of_a_document(spark):
     assert made and max(made) < 3000
 
 
+def test_texts_of_a_large_group_are_sent_about_once(spark, monkeypatch):
+    """160 near copies in 20 blocks, 40 other texts of one passage, which link with none: not a text for each pair of blocks."""
+    monkeypatch.setattr(ngram_join, "HALF", 8)
+    sent, kept = [], ngram_join.stored
+
+    def stored(df, label):
+        out = kept(df, label)
+        if label in ("join-screened", "join-heads"):
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    rng = random.Random(9)
+    base = [str(rng.randrange(10**9)) for _ in range(300)]
+    rows = [(k, " ".join([*base[: k + 60], f"x{k}", *base[k + 60 :]])) for k in range(160)]
+    rows += [(1000 + k, " ".join([*base[:100], *(str(rng.randrange(10**9)) for _ in range(200))])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.annotate(df).collect()}
+    assert got == {k: 0 if k < 160 else k for k, _ in rows}
+    assert sum(sent) < 500
+    assert ngram_join.dedup(df).count() == 41
+
+
 def test_screen_by_numbers():
     """No link is lost by the numbers of shared prefix tokens, and documents with a few tokens in common don't pass."""
     rng = np.random.default_rng(4)
