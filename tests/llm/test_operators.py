@@ -886,3 +886,15 @@ def test_pipeline_stages_take_odd_tables(spark, docs, none):
             at = common.stored(stage(spark, at, "/root/testdata/sf0.001"), "test-stage")
             assert at.columns == docs.columns
         assert p.STAGES[-1][1](spark, at, "/root/testdata/sf0.001").count() == at.count()
+
+
+def test_pieces_merged_together_are_merged_alike():
+    """Merges.many, a row for each piece, against the merge loop; learn() keeps what the stream would find."""
+    from random import Random
+
+    r, t = Random(7), bpe.Transducer(queries.tokenizer_file())
+    words = ["".join(r.choices(["th", "er", "on", " ", "ß", "é", "ly", "0", "9", "!"], k=r.randint(1, 12))) for _ in range(3000)]
+    raws = [w.encode() for w in words] + [bytes(r.choices(range(256), k=r.randint(1, 40))) for _ in range(2000)] + [b"", b"a"]
+    assert t.merges.many(raws) == [bpe.packed(t.merges.whole(x)) for x in raws]
+    t.kept.learn(words)
+    assert t.kept and all(ids == bpe.packed(t.merges.whole(p.encode())) for p, ids in t.kept.items())

@@ -5,7 +5,7 @@ held is a chunk and a tail. Two levels decide:
 
 * Pre-tokens: a piece that ends LOOK characters or more before the end of what is held is final, as the pattern looks at
   most two characters ahead; the length of a special token is added, as one may have begun. A final piece is merged by the
-  file's merge list (kept for pieces that come again).
+  file's merge list (kept for pieces that come again; those that look new in a batch of texts are merged beforehand, in step).
 * Within a piece that outgrows a chunk: the merge list's sufficient lookahead. Each prefix of a text has one last token,
   and a token is it if it goes with the last token of the prefix before it, which is decided by the merges of the two
   alone. So prefixes form a tree by their last tokens. No token is longer than `lookahead` bytes (computed from the
@@ -35,11 +35,16 @@ from waymark.llm.common import add_columns
 
 #: Characters fed at once; pieces kept with their ids, and the longest kept in bytes.
 CHUNK, KEPT, KEPT_BYTES = 1 << 14, 1 << 17, 64
+#: Of each text of a batch so many characters are looked through for pieces to merge together: at most so many bytes each, so many
+#: at once.
+AHEAD, AHEAD_BYTES, ROWS = 1 << 18, 32, 8192
 #: Characters after a piece that make it final.
 LOOK = 3
 # The byte-level pre-tokenizer's pattern, and a character that each kind of piece goes on after.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 KINDS = ((regex.compile(r"\p{L}"), "a"), (regex.compile(r"\p{N}"), "0"), (regex.compile(r"\s"), "\n"), (regex.compile(r"."), "!"))
+#: Most pieces, or strings that are none, which costs their merge and no more: kept pieces are only ever looked up.
+LETTERS = re.compile(r" ?[^\W\d_]+")
 _NONE = 1 << 62
 
 
@@ -67,6 +72,9 @@ class Merges:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[a] << self.shift | vocab[b]] = rank << self.shift | vocab[a + b]
+        #: The same as arrays, by the pair.
+        self.of_byte, self.keys = np.array(self.byte_id), np.array(sorted(self.ranks), np.int64)
+        self.values = np.array([self.ranks[k] for k in self.keys.tolist()], np.int64)
         for a in spec["added_tokens"]:
             self.bytes_of[a["id"]] = a["content"].encode()
         #: No token of the vocabulary has more bytes.
@@ -95,6 +103,47 @@ class Merges:
                 found[k] = known(ids[k] << shift | ids[k + 1], _NONE)
         return ids
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """ranks of pairs; -1 on the right: none."""
+        at = np.minimum(np.searchsorted(self.keys, key := left << self.shift | right), len(self.keys) - 1)
+        return np.where((right >= 0) & (self.keys[at] == key), self.values[at], _NONE)
+
+    def many(self, raws: list[bytes]) -> list[bytes]:
+        """packed(whole()) of each short piece: a row each, all merged in step."""
+        if not raws or not len(self.keys):
+            return [packed(self.whole(r)) for r in raws]
+        out, order = [b""] * len(raws), np.argsort(np.array([len(r) for r in raws]), kind="stable")
+        for low in range(0, len(raws), ROWS):
+            own = order[low : low + ROWS]
+            n = np.array([len(raws[k]) for k in own])
+            wide = max(2, int(n[-1]))
+            ids = self.of_byte[np.frombuffer(b"".join([raws[k].ljust(wide, b"\0") for k in own]), np.uint8).reshape(-1, wide)]
+            ids[np.arange(wide) >= n[:, None]] = -1
+            found = self._pairs(ids[:, :-1], ids[:, 1:])
+            while len(own):
+                if (wide := ids.shape[1]) > 1:
+                    k = found.argmin(1)
+                    least = found[np.arange(len(own)), k]
+                    go = least < _NONE
+                else:
+                    go = np.zeros(len(own), bool)
+                done = ids[~go].astype("<u4").tobytes()
+                for i, (row, count) in enumerate(zip(own[~go].tolist(), n[~go].tolist())):
+                    out[row] = done[4 * i * wide : 4 * (i * wide + count)]
+                own, n = own[go], n[go] - 1
+                if not len(own):
+                    break
+                ids, found, k, least, rows = ids[go], found[go], k[go], least[go], np.arange(len(own))
+                later = np.arange(wide - 1) > k[:, None]
+                ids = np.where(later, ids[:, 1:], ids[:, :-1])
+                ids[rows, k] = least & (1 << self.shift) - 1
+                found = np.where(later[:, :-1] | (np.arange(wide - 2) == k[:, None]), found[:, 1:], found[:, :-1])
+                for here in (k - 1, k):
+                    at = (here >= 0) & (here < wide - 2)
+                    r, c = rows[at], here[at]
+                    found[r, c] = self._pairs(ids[r, c], ids[r, c + 1])
+        return out
+
     def fit(self, left: int, right: int) -> bool:
         """Whether the tokens are what their bytes together are merged to."""
         key = left << self.shift | right
@@ -169,6 +218,18 @@ class _Kept(dict):
     def __init__(self, merges: Merges):
         self.m = merges
 
+    def learn(self, texts: list[str]) -> None:
+        """Most pieces of a batch of texts, merged together."""
+        found = set()
+        for x in texts:
+            found.update(LETTERS.findall(x[:AHEAD]))
+        new = found - self.keys()
+        if len(self) + len(new) > KEPT:
+            self.clear()
+            new = found
+        raws = {p: raw for p in new if len(raw := p.encode()) <= AHEAD_BYTES}
+        self.update(zip(raws, self.m.many(list(raws.values()))))
+
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         if len(raw) > KEPT_BYTES:
@@ -256,10 +317,10 @@ class Transducer:
     def decode(self, ids: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text, as it becomes known, of ids that come in lists."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        table = self.merges.bytes_of
+        table = self.merges.bytes_of.__getitem__
         for part in ids:
             part = part.tolist() if isinstance(part, np.ndarray) else part
-            yield state.decode(b"".join([table[i] for i in part]))
+            yield state.decode(b"".join(map(table, part)))
         yield state.decode(b"", True)
 
 
@@ -282,7 +343,11 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", chunk: int =
 
     def make():
         t = transducer(tokenizer, chunk)
-        return lambda texts: [[_joined(t.encode([x or ""])) for x in texts]]
+        def values(texts):
+            t.kept.learn(list(filter(None, texts)))
+            return [[_joined(t.encode([x or ""])) for x in texts]]
+
+        return values
 
     return add_columns(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make)
 
@@ -301,6 +366,7 @@ def encode_checked(docs: DataFrame, tokenizer: str, text_col: str = "text", chun
         t = transducer(tokenizer, chunk)
 
         def values(texts):
+            t.kept.learn(list(filter(None, texts)))
             ids = [_joined(t.encode([x or ""])) for x in texts]
             return [ids, [_decoded_sha256(t, (x[k : k + chunk] for k in range(0, len(x), chunk))) for x in ids]]
 
@@ -338,6 +404,10 @@ def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", chunk: i
             decoded = _decoded_sha256(t, passed())
             return count, h.hexdigest(), decoded
 
-        return lambda texts: [list(c) for c in zip(*(one(x or "") for x in texts))] if texts else [[], [], []]
+        def values(texts):
+            t.kept.learn(list(filter(None, texts)))
+            return [list(c) for c in zip(*(one(x or "") for x in texts))] if texts else [[], [], []]
+
+        return values
 
     return add_columns(docs, text_col, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], make)
