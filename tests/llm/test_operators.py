@@ -898,3 +898,24 @@ def test_pieces_merged_together_are_merged_alike():
     assert t.merges.many(raws) == [bpe.packed(t.merges.whole(x)) for x in raws]
     t.kept.learn(words)
     assert t.kept and all(ids == bpe.packed(t.merges.whole(p.encode())) for p, ids in t.kept.items())
+
+
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
+    """The same components as by contraction, with a table for the edges and one for the labels."""
+    from random import Random
+
+    r = Random(3)
+    edges = [(k, k + 1) for k in range(300, 340)] + [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(7, 7), (1 << 40, 5)]
+    given = spark.createDataFrame(edges, "a long, b long")
+    labels, made = [], []
+    monkeypatch.setattr(graph, "stored", lambda df, label: made.append(label) or common.stored(df, label))
+    for small in (graph.SMALL, 0):
+        groups = collections.defaultdict(set)
+        for node, root in graph.components(given, small=small).collect():
+            groups[root].add(node)
+        assert all(root in nodes for root, nodes in groups.items())
+        labels.append(sorted(map(sorted, groups.values())))
+        if small:
+            assert made == ["graph-edges", "graph-labels"]
+    assert labels[0] == labels[1]
+    assert graph.components(given.where("a = b")).count() == 0
