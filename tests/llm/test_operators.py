@@ -13,6 +13,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,65 @@ def test_texts_of_a_large_group_are_sent_about_once(spark, monkeypatch):
     assert ngram_join.dedup(df).count() == 41
 
 
+def sent_by_stages(spark):
+    """Bytes that the application's stages shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    java = spark._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(java(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), java())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_prefix_tokens_are_sent_once(spark):
+    """Texts that share nothing: their prefix tokens are nearly all that is sent, in some five bytes each."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(str(rng.randrange(10**9)) for _ in range(1004))) for k in range(300)]
+    df, before = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), sent_by_stages(spark)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.annotate(df, carry=["doc_id"]).collect()} == {(k, k) for k, _ in rows}
+    assert sent_by_stages(spark) - before < 12 * 300 * 251
+
+
+def test_packed_posts(monkeypatch):
+    """Hubs of packed posts against all posts, also with tokens and documents at the ends of their ranges."""
+    monkeypatch.setattr(ngram_join, "BUCKETS", 16)
+    rng = np.random.default_rng(13)
+    tokens = np.concatenate([rng.integers(0, 60, 400), [2**35, 2**35, 2**35 - 1]]).astype(np.uint64)
+    uids = np.concatenate([np.sort(rng.integers(0, 2**50, 400)), [5, 2**62, 0]])
+    parts = [list(ngram_join.packed(tokens[a:b], uids[a:b])) for a, b in ((0, 150), (150, 403))]
+    assert all(x.tolist() == sorted(x.tolist()) for p in parts[:1] for _, v in p for x in [ngram_join.unpacked(v)[1]])
+    rows = sorted((x for p in parts for x in p), key=lambda x: x[0])
+    made = ngram_join._met(iter([pa.record_batch([pa.array([k for k, _ in rows[a:b]], pa.int32()), pa.array([v for _, v in rows[a:b]], pa.binary())], ["bucket", "posts"]) for a, b in ((0, 7), (7, len(rows)))]))
+    by = collections.defaultdict(list)
+    for t, u in zip(tokens.tolist(), uids.tolist()):
+        by[t].append(u)
+    want = collections.Counter((min(us), u) for us in by.values() if len(us) > 1 for u in us)
+    assert want == collections.Counter(x for b in made for x in zip(*(c.to_pylist() for c in b.columns)))
+
+
+def test_sets_of_texts_together(monkeypatch):
+    """Sets and prefixes made together are those made one by one, also of texts without five words."""
+    texts = ["a b c d e f a b c d e f", None, "", " \n", "x", "B C D", "a b c d e", "é è " * 40, "p q r s t u v w " * 9]
+    alone = [ngram_join.shingles(t) for t in texts]
+    base = np.unique(np.concatenate(alone))[::2]
+    orders = ngram_join.Orders(base, np.arange(1, len(base) + 1))
+    for most in (1, 9, 1 << 16):
+        monkeypatch.setattr(ngram_join, "AT_ONCE", most)
+        assert all(np.array_equal(x, y) for x, y in zip(ngram_join.sets_of(texts), alone, strict=True))
+        filled = [x for x in alone if len(x)]
+        for own, made in zip(filled, orders.of_sets(filled), strict=True):
+            assert all(np.array_equal(x, y) and a == b for (x, a), (y, b) in zip(made, orders.prefixes(own), strict=True))
+    assert [len(x) for x in alone] == [8 - 2, 0, 0, 0, 1, 1, 1, 2, 8]
+
+
+def test_many_documents_to_verify(spark, monkeypatch):
+    """More rows of tasks than are broadcast: the same links."""
+    rng = random.Random(14)
+    base = [str(rng.randrange(10**9)) for _ in range(300)]
+    rows = [(k, " ".join([*base[: 5 * k + 9], f"x{k}", *base[5 * k + 9 :]])) for k in range(30)] + [(50 + k, " ".join(str(rng.randrange(10**9)) for _ in range(60))) for k in range(9)]
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    got = {r.doc_id: r.component_id for r in ngram_join.annotate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: 0 if k < 30 else k for k, _ in rows}
+
+
 def test_screen_by_numbers():
     """No link is lost by the numbers of shared prefix tokens, and documents with a few tokens in common don't pass."""
     rng = np.random.default_rng(4)
